@@ -54,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    urls = rows.select("host", "path").where(F.col("host") != "").distinct()
+    urls = rows.select("host", "path").where(F.col("host") != "").distinct().withColumn("lengths", lengths)
     expressions = (
         urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
         .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
