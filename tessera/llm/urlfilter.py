@@ -50,11 +50,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         rule.alias("rule"), "verdict", F.length("host").alias("host_length"),
         F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("digest"), F.length("path").alias("path_length"),
     )
-    lengths = digests.agg(F.array_sort(F.collect_set("path_length"))).scalar()
+    lengths = [r[0] for r in digests.select("path_length").distinct().collect()]  # at most one for each length a URL can have
+    known = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    urls = rows.select("host", "path").where(F.col("host") != "").distinct().withColumn("lengths", lengths)
+    prefixes = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
+    urls = rows.select("host", "path").where(F.col("host") != "").distinct()
     expressions = (
         urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
         .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
