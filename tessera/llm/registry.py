@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, tokenfile, urlfilter
+from tessera.llm import ngram_join, packing, tokenfile, urlfilter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.ngram_join_query,
     "op5_url_filters": urlfilter.url_filter_query,
     "op7_token_ids": tokenfile.token_ids_query,
     "op8_packing": packing.packing_query,
