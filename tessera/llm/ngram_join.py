@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.trie import link_sets
+from tessera.llm.vectors import sorted_groups
 from tessera.llm.words import gram_hashes, mix, text_chunks, word_hashes, word_spans
 from tessera.operators.components import connected_components
 from tessera.storage import discard, materialize
@@ -138,33 +139,11 @@ def _postings(bits: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of equal leading key columns from a partition sorted by them."""
-    parts, current = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[a] for c in columns)
-            if key != current and parts:
-                yield current, pa.Table.from_batches(parts)
-                parts = []
-            current = key
-            parts.append(batch.slice(a, b - a))
-    if parts:
-        yield current, pa.Table.from_batches(parts)
-
-
 def _count(parts: int):
     """In each bucket keep the shingles of two classes or more, and send them to their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, 1):
+        for rows in sorted_groups(batches, 1):
             grams, classes, sizes = [], [], []
             for g, w, i, s in zip(*(rows.column(c).to_pylist() for c in range(1, 5)), strict=True):
                 which = _unplanes(w, 3)
@@ -205,7 +184,7 @@ def _count(parts: int):
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Order each class's shared shingles rarest first and keep classes whose prefix has any."""
-    for _, rows in _groups(batches, 1):
+    for rows in sorted_groups(batches, 1):
         classes, sizes, grams, counts = [], [], [], []
         for i, s, t, g, c in zip(*(rows.column(k).to_pylist() for k in range(1, 6)), strict=True):
             times = np.frombuffer(t, "<u4")
@@ -241,7 +220,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join the sets of each ``(k, block)``; rows are ``k, block, class, n, grams, counts, build``."""
-    for _, rows in _groups(batches, 2):
+    for rows in sorted_groups(batches, 2):
         classes = rows.column(2).to_numpy()
         if len(classes) < 2:
             continue

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import ngram_join, packing, tokenfile, urlfilter
+from tessera.llm import ann, near_vectors, ngram_join, packing, tokenfile, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.ngram_join_query,
+    "op3_near_vectors": near_vectors.near_vectors_query,
     "op5_url_filters": urlfilter.url_filter_query,
     "op7_token_ids": tokenfile.token_ids_query,
     "op8_packing": packing.packing_query,
+    "op10_nearest": ann.nearest_query,
 }
 
 ORACLE_SQL = {
+    "op3_near_vectors": near_vectors.near_vectors_query,
     "op5_url_filters": urlfilter.URL_FILTER_SQL,
 }
