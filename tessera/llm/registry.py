@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, near_vectors, ngram_join, packing, tokenfile, urlfilter
+from tessera.llm import ann, near_vectors, ngram_join, packing, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.ngram_join_query,
     "op3_near_vectors": near_vectors.near_vectors_query,
+    "op4_toxicity": toxicity.toxicity_query,
     "op5_url_filters": urlfilter.url_filter_query,
     "op7_token_ids": tokenfile.token_ids_query,
     "op8_packing": packing.packing_query,
