@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, near_vectors, ngram_join, packing, tokenfile, toxicity, urlfilter
+from tessera.llm import ann, lm, near_vectors, ngram_join, packing, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.ngram_join_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filters": urlfilter.url_filter_query,
     "op7_token_ids": tokenfile.token_ids_query,
     "op8_packing": packing.packing_query,
+    "op9_lm_scores": lm.lm_query,
     "op10_nearest": ann.nearest_query,
 }
 
