@@ -42,3 +42,14 @@ def near_duplicates(rows: list[tuple]) -> dict:
     links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     label = components(list(sets), links)
     return {d: (len(s), label[d]) for d, s in sets.items()}
+
+
+def repeated_windows(rows: list[tuple], size: int = 50) -> set:
+    """``(doc_id, start, smallest doc_id)`` of every window that several documents have."""
+    holders: dict = {}
+    for d, t in rows:
+        w = words(t)
+        if d is not None:
+            for i in range(len(w) - size + 1):
+                holders.setdefault(tuple(w[i : i + size]), []).append((d, i))
+    return {(d, i, min(h)[0]) for h in holders.values() if len({d for d, _ in h}) > 1 for d, i in h}
