@@ -7,7 +7,8 @@ found whole, word for word (A-Z folded), by sorting few suffixes:
    smallest hash is selected. The choice depends on content only, so equal windows
    select the same place. About one word in twenty is selected; only these suffixes
    are kept.
-2. *Sorting.* A selected run that occurs once cannot be part of a repeat and is dropped.
+2. *Sorting.* A selected run that occurs once cannot be part of a repeat and is dropped, most
+   by a bitmap of fixed size that all tasks hold, the rest by a join.
    The others carry the words around them, enough for every window that selected
    them. Rows with equal surroundings are merged, by map tasks first, to the smallest
    document and whether there are several. Suffixes are sorted, and neighbours give
@@ -47,6 +48,8 @@ RUN = 8
 #: Words that surround a selected place in any of its windows.
 BEFORE = PASSAGE - RUN
 HOT = 20_000
+#: Bits of the map of repeated runs, in 8 slices; its size does not depend on the corpus.
+MAP_BITS = 26
 
 
 def selected_places(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,11 +112,34 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(run[head].view(np.int64)), pa.array(np.minimum.reduceat(doc, head)), pa.array(np.maximum.reduceat(doc, head))], names=["run", "low", "high"])
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every selected place with the words around it: zeros stand for what is outside the text."""
+def _run_map(shared: DataFrame) -> np.ndarray:
+    """A bitmap with a bit set for every run of ``shared``; other runs' bits may be set too."""
+    slice_bits = MAP_BITS - 3
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            for slot in np.unique(bit >> np.uint64(slice_bits)).tolist():
+                own = slices.setdefault(slot, np.zeros(1 << slice_bits, dtype=bool))
+                own[(bit[bit >> np.uint64(slice_bits) == slot] & np.uint64((1 << slice_bits) - 1)).astype(np.int64)] = True
+        for slot, own in slices.items():
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["slot", "bits"])
+
+    out = np.zeros((8, (1 << slice_bits) // 8), np.uint8)
+    for r in shared.repartition(8, F.shiftrightunsigned("run", 61)).mapInArrow(build, "slot int, bits binary").collect():
+        out[r["slot"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Selected places whose run may repeat, with the words around them: zeros stand for what is outside the text."""
     for batch in batches:
         own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for row, words, bounds, text, place, run, first, last in _text_places(batch.column(1)):
+        for row, words, bounds, *found in _text_places(batch.column(1)):
+            bit = found[2] >> np.uint64(64 - MAP_BITS)
+            marked = bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1 > 0
+            text, place, run, first, last = (x[marked] for x in found)
             short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
             for a in range(0, len(place), 8192):
                 at = place[a : a + 8192]
@@ -244,7 +270,9 @@ def _repeated_places(docs: DataFrame, id_col: str, text_col: str, hot: int) -> D
     named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).where("doc IS NOT NULL")
     runs = named.mapInArrow(_runs, "run long, low long, high long").groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = materialize(runs.where("low < high").select("run"), "runs")
-    places = named.mapInArrow(_surroundings, "run long, doc long, place int, around binary").join(shared, "run", "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(_run_map(shared))  # 8 MB, whatever the corpus
+    around = named.mapInArrow(lambda batches: _surroundings(batches, bits.value), "run long, doc long, place int, around binary")
+    places = around.join(shared, "run", "left_semi")
     places = materialize(places, "places")
     merged = materialize(places.groupBy("run", "around").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "surroundings")
     large = materialize(merged.groupBy("run").count().where(F.col("count") > hot).select("run"), "hot-runs")
