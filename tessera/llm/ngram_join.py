@@ -33,13 +33,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.trie import link_sets
 from tessera.llm.vectors import sorted_groups
-from tessera.llm.words import gram_hashes, mix, text_chunks, word_hashes, word_spans
+from tessera.llm.words import gram_hashes, mix, text_chunks, whole_texts, word_hashes, word_spans
 from tessera.operators.components import connected_components
 from tessera.storage import discard, materialize
 
 WORDS = 5
-#: Buckets of the hash space; a bucket is handled by one task at a time.
-BUCKET_BITS = 6
 #: Shingles that a map task holds before it sends them.
 FLUSH = 3 << 20
 #: Sets in one trie.
@@ -252,9 +250,15 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     return rows.join(cut, "k").withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))))
 
 
-def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int = BUCKET_BITS, text_col: str = "text") -> DataFrame:
+def _bucket_bits(spark: SparkSession) -> int:
+    """Bits of the hash space's buckets: one bucket or more for each shuffle partition, so their size stays as the input grows."""
+    return max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int | None = None, text_col: str = "text") -> DataFrame:
     """Edges ``(src, dst)`` between classes of equal sets whose components are those of the similarity graph."""
-    buckets = docs.select(F.col(text_col).alias("t")).mapInArrow(_postings(bucket_bits), "bucket int, grams binary, which binary, ids binary, sizes binary")
+    bucket_bits = bucket_bits or _bucket_bits(docs.sparkSession)
+    buckets = whole_texts(docs).select(F.col(text_col).alias("t")).mapInArrow(_postings(bucket_bits), "bucket int, grams binary, which binary, ids binary, sizes binary")
     parts = 1 << bucket_bits
     shared = (
         buckets.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -303,9 +307,9 @@ def _across_blocks(large: DataFrame, links: DataFrame, block: int) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket_bits: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     sized = materialize(named.mapInArrow(_classes, "doc_id long, n_shingles long, class long"), "classes")
     links = similar_classes(docs, block, bucket_bits, text_col)
     heads = connected_components(links).select(F.col("node").alias("class"), "component")
