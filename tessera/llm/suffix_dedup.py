@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import sorted_groups
-from tessera.llm.words import gram_hashes, text_chunks, word_hashes, word_spans
+from tessera.llm.words import gram_hashes, text_chunks, whole_texts, word_hashes, word_spans
 from tessera.storage import materialize
 
 PASSAGE = 50
@@ -267,7 +267,7 @@ def _hot_repeats(hot: DataFrame) -> DataFrame:
 
 def _repeated_places(docs: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
     """``doc, place, ranges`` for every selected place that has repeated windows."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).where("doc IS NOT NULL")
+    named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).where("doc IS NOT NULL")
     runs = named.mapInArrow(_runs, "run long, low long, high long").groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = materialize(runs.where("low < high").select("run"), "runs")
     bits = docs.sparkSession.sparkContext.broadcast(_run_map(shared))  # 8 MB, whatever the corpus

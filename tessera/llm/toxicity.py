@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.words import whole_texts
 from tessera.storage import materialize
 
 ORDERS = (4, 6, 8)
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)  # a bounded table, so it can be broadcast
-    rows = docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(sample), id_col)
+    rows = whole_texts(docs).select(id_col, F.col(text_col).alias("t")).join(F.broadcast(sample), id_col)
 
     size, slots = 1 << HASH_BITS, 8
 
@@ -239,7 +240,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(place)))], names=[*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return whole_texts(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
