@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import Projections, matrix, packed, sorted_groups, stored_type, valid_vector
+from tessera.llm.words import tidy
 from tessera.storage import materialize
 
 TABLES, PER_TABLE, PROBES, WIDTH, SEED = 4, 5, 100, 1.4, 10
@@ -111,7 +112,7 @@ def nearest_neighbours(
                 held.setdefault(v, set()).add(i)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([heapq.nsmallest(k + 1, x) for x in held.values()], pa.list_(pa.int64()))], names=["vector", "ids"])
 
-    short = clean(vectors).mapInArrow(shorten, "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    short = clean(vectors).mapInArrow(tidy(shorten), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     stored = materialize(short.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")), "ann-vectors")
     sample = stored.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE).collect()
     scale: dict[int, float] = {}
@@ -148,8 +149,8 @@ def nearest_neighbours(
 
     none, no_query = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
     asked = materialize(clean(queries).dropDuplicates(["id"]), "ann-queries")
-    entries = stored.select("vector", "ids").mapInArrow(index, "t int, code long, ids array<long>, vector binary")
-    visits = asked.select("vector", "id").mapInArrow(visit, "t int, code long, query long, vector binary")
+    entries = stored.select("vector", "ids").mapInArrow(tidy(index), "t int, code long, ids array<long>, vector binary")
+    visits = asked.select("vector", "id").mapInArrow(tidy(visit), "t int, code long, query long, vector binary")
     large = entries.groupBy("t", "code").count().where(F.col("count") > BLOCK)
     large = large.select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
@@ -158,7 +159,7 @@ def nearest_neighbours(
 
     def compare(rows: DataFrame) -> DataFrame:
         placed = rows.repartition("t", "code", "block").sortWithinPartitions("t", "code", "block")
-        return placed.mapInArrow(_nearest(kind, k), "query_id long, vec_id long, score double")
+        return placed.mapInArrow(tidy(_nearest(kind, k)), "query_id long, vec_id long, score double")
 
     found = materialize(compare(held.unionByName(asks)), "ann-found")
     distinct = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

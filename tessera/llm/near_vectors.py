@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.vectors import Projections, matrix, packed, sorted_groups, stored_type, valid_vector
 from tessera.operators.components import connected_components
+from tessera.llm.words import tidy
 from tessera.storage import materialize
 
 COSINE = 0.93
@@ -121,7 +122,7 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(t), pa.array(codes.reshape(-1)), *own.columns[1:]], names=["label", "t", "code", "cid", "copies", "vector"])
 
     label_type = classes.schema["label"].dataType.simpleString()
-    entries = classes.select("label", "cid", "copies", "vector").mapInArrow(expand, f"label {label_type}, t int, code long, cid long, copies long, vector binary")
+    entries = classes.select("label", "cid", "copies", "vector").mapInArrow(tidy(expand), f"label {label_type}, t int, code long, cid long, copies long, vector binary")
     large = entries.groupBy("label", "t", "code").count().where(F.col("count") > block)
     large = large.select("label", "t", "code", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -136,7 +137,7 @@ def near_vectors(
     )
     keys = ["label", "t", "code", "pair"]
     found = materialize(
-        placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links(kind, cosine, codes_of), "src long, dst long, links long"), "vector-links"
+        placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_links(kind, cosine, codes_of)), "src long, dst long, links long"), "vector-links"
     )
     heads = connected_components(found.where("src <> dst").select("src", "dst").distinct())
     sums = found.groupBy(F.col("src").alias("cid")).agg(F.sum("links").alias("links"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.trie import link_sets
 from tessera.llm.vectors import sorted_groups
-from tessera.llm.words import gram_hashes, mix, text_chunks, whole_texts, word_hashes, word_spans
+from tessera.llm.words import gram_hashes, mix, text_chunks, tidy, whole_texts, word_hashes, word_spans
 from tessera.operators.components import connected_components
 from tessera.storage import discard, materialize
 
@@ -241,7 +241,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _run_blocks(rows: DataFrame) -> DataFrame:
     placed = rows.select("k", "block", "class", "n", "grams", "counts", "build").repartition("k", "block").sortWithinPartitions("k", "block")
-    return placed.mapInArrow(_join_blocks, "src long, dst long")
+    return placed.mapInArrow(tidy(_join_blocks), "src long, dst long")
 
 
 def _blocked(rows: DataFrame, block: int) -> DataFrame:
@@ -258,17 +258,17 @@ def _bucket_bits(spark: SparkSession) -> int:
 def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int | None = None, text_col: str = "text") -> DataFrame:
     """Edges ``(src, dst)`` between classes of equal sets whose components are those of the similarity graph."""
     bucket_bits = bucket_bits or _bucket_bits(docs.sparkSession)
-    buckets = whole_texts(docs).select(F.col(text_col).alias("t")).mapInArrow(_postings(bucket_bits), "bucket int, grams binary, which binary, ids binary, sizes binary")
+    buckets = whole_texts(docs).select(F.col(text_col).alias("t")).mapInArrow(tidy(_postings(bucket_bits)), "bucket int, grams binary, which binary, ids binary, sizes binary")
     parts = 1 << bucket_bits
     shared = (
         buckets.repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_count(parts), "part int, ids binary, sizes binary, times binary, grams binary, counts binary")
+        .mapInArrow(tidy(_count(parts)), "part int, ids binary, sizes binary, times binary, grams binary, counts binary")
     )
     sets = materialize(
         shared.repartition(parts, "part").sortWithinPartitions("part")
-        .mapInArrow(_candidates, "class long, n long, prefix int, grams binary, counts binary"), "sets"
+        .mapInArrow(tidy(_candidates), "class long, n long, prefix int, grams binary, counts binary"), "sets"
     )
-    prefixes = sets.select("class", "prefix", "grams").mapInArrow(_prefix_rows, "gram long, class long")
+    prefixes = sets.select("class", "prefix", "grams").mapInArrow(tidy(_prefix_rows), "gram long, class long")
     hubs = prefixes.groupBy("gram").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
     meets = prefixes.join(hubs, "gram").where("class <> hub").select(F.col("class").alias("src"), F.col("hub").alias("dst")).distinct()
     groups = connected_components(meets).select(F.col("node").alias("class"), F.col("component").alias("k"))
@@ -310,7 +310,7 @@ def _across_blocks(large: DataFrame, links: DataFrame, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket_bits: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    sized = materialize(named.mapInArrow(_classes, "doc_id long, n_shingles long, class long"), "classes")
+    sized = materialize(named.mapInArrow(tidy(_classes), "doc_id long, n_shingles long, class long"), "classes")
     links = similar_classes(docs, block, bucket_bits, text_col)
     heads = connected_components(links).select(F.col("node").alias("class"), "component")
     least = sized.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.words import text_chunks, whole_texts
+from tessera.llm.words import text_chunks, tidy, whole_texts
 from tessera.llm.wordtokens import word_tokenizer
 from tessera.storage import materialize
 
@@ -137,7 +137,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
                     pa.array(np.full(len(doc), part), pa.int64()), pa.array(place, pa.int64()),
                 ], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
 
-    return whole_texts(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, PIECES)
+    return whole_texts(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(tidy(cut), PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -171,7 +171,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
                 offset[group] = use[:, 3] + at % times * length[group]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(seat), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:

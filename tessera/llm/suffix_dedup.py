@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import sorted_groups
-from tessera.llm.words import gram_hashes, text_chunks, whole_texts, word_hashes, word_spans
+from tessera.llm.words import gram_hashes, text_chunks, tidy, whole_texts, word_hashes, word_spans
 from tessera.storage import materialize
 
 PASSAGE = 50
@@ -127,7 +127,7 @@ def _run_map(shared: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["slot", "bits"])
 
     out = np.zeros((8, (1 << slice_bits) // 8), np.uint8)
-    for r in shared.repartition(8, F.shiftrightunsigned("run", 61)).mapInArrow(build, "slot int, bits binary").collect():
+    for r in shared.repartition(8, F.shiftrightunsigned("run", 61)).mapInArrow(tidy(build), "slot int, bits binary").collect():
         out[r["slot"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -256,7 +256,7 @@ def _hot_repeats(hot: DataFrame) -> DataFrame:
                         own = part.take(pa.array(has))
                         yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), own.column(3), pa.array(np.full(len(has), offset), pa.int32()), pa.array([cut[k].tobytes() for k in has], pa.binary())], names=["run", "around", "low", "high", "offset", "window"])
 
-    each = hot.mapInArrow(window, "run long, around binary, low long, high long, offset int, window binary")
+    each = hot.mapInArrow(tidy(window), "run long, around binary, low long, high long, offset int, window binary")
     each = each.select("run", "around", "low", "high", "offset", F.sha2("window", 256).alias("window"))
     keys = ["run", "offset", "window"]
     equal = each.groupBy(*keys).agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
@@ -268,16 +268,16 @@ def _hot_repeats(hot: DataFrame) -> DataFrame:
 def _repeated_places(docs: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
     """``doc, place, ranges`` for every selected place that has repeated windows."""
     named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).where("doc IS NOT NULL")
-    runs = named.mapInArrow(_runs, "run long, low long, high long").groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    runs = named.mapInArrow(tidy(_runs), "run long, low long, high long").groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = materialize(runs.where("low < high").select("run"), "runs")
     bits = docs.sparkSession.sparkContext.broadcast(_run_map(shared))  # 8 MB, whatever the corpus
-    around = named.mapInArrow(lambda batches: _surroundings(batches, bits.value), "run long, doc long, place int, around binary")
+    around = named.mapInArrow(tidy(lambda batches: _surroundings(batches, bits.value)), "run long, doc long, place int, around binary")
     places = around.join(shared, "run", "left_semi")
     places = materialize(places, "places")
     merged = materialize(places.groupBy("run", "around").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "surroundings")
     large = materialize(merged.groupBy("run").count().where(F.col("count") > hot).select("run"), "hot-runs")
     usual = merged.join(large, "run", "left_anti").select("run", "around", "low", "high").repartition("run").sortWithinPartitions("run")
-    found = usual.mapInArrow(_repeats, REPEATS)
+    found = usual.mapInArrow(tidy(_repeats), REPEATS)
     if not large.isEmpty():
         found = found.unionByName(_hot_repeats(merged.join(large, "run", "left_semi").select("run", "around", "low", "high")))
     return places.join(found, ["run", "around"]).select("doc", "place", "ranges")
@@ -322,7 +322,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = F.transform("ranges", lambda r: F.struct((F.col("place") - r["high_offset"]).alias("start"), (F.col("place") - r["low_offset"] + PASSAGE).alias("end"), r["low"].alias("low")))
     lists = _repeated_places(docs, id_col, text_col, hot).groupBy("doc").agg(F.flatten(F.collect_list(spans)).alias("spans"))  # one text's spans
     schema = "doc_id long, removed array<struct<start:int,end:int>>, kept array<struct<start:int,end:int>>, first_doc_ids array<long>"
-    return lists.select("doc", "spans").mapInArrow(_merge_spans, schema)
+    return lists.select("doc", "spans").mapInArrow(tidy(_merge_spans), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(spans, F.col(id_col) == F.col("_span_doc"), "left").drop("_span_doc").mapInArrow(cut, docs.schema)
+    return docs.join(spans, F.col(id_col) == F.col("_span_doc"), "left").drop("_span_doc").mapInArrow(tidy(cut), docs.schema)
 
 
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:

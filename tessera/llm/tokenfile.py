@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.words import text_chunks, whole_texts
+from tessera.llm.words import text_chunks, tidy, whole_texts
 from tessera.llm.wordtokens import word_tokenizer
 from tessera.storage import materialize, scratch_path
 
@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield close()
 
     ordered = whole_texts(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).repartitionByRange("i").sortWithinPartitions("i")
-    files = materialize(ordered.mapInArrow(write, "path string, part long, number long, n_ids long"), "token-files")
+    files = materialize(ordered.mapInArrow(tidy(write), "path string, part long, number long, n_ids long"), "token-files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"), "n_ids")
 
@@ -203,7 +203,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = files.select("path", "base").repartition(tasks, "path")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import whole_texts
+from tessera.llm.words import tidy, whole_texts
 from tessera.storage import materialize
 
 ORDERS = (4, 6, 8)
@@ -38,7 +38,7 @@ SAMPLE_ROWS = 10_000
 #: Features that keep a weight.
 KEPT = 8192
 THRESHOLD = 0.3
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 19
 
 #: ASCII letters in lower case, digits as they are, all else as a space: words end alike before any mark.
 _FOLD = np.array([ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)], dtype=np.uint32)
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot", "counts"])
 
     rows = materialize(rows.select("t", "y"), "labelled")  # bounded by the sample, read three times
-    summed = rows.mapInArrow(count, "slot int, counts binary").repartition(slots, "slot").mapInArrow(add, "slot int, counts binary").collect()
+    summed = rows.mapInArrow(tidy(count), "slot int, counts binary").repartition(slots, "slot").mapInArrow(tidy(add), "slot int, counts binary").collect()
     total = np.zeros((2, slots, size // slots), np.int64)
     for r in summed:
         total[:, r["slot"]] += np.frombuffer(r["counts"], np.int64).reshape(2, -1)
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).slice(first, len(ends))], names=["buckets", "y"])
 
     # repeated ids are cut to the bound too; the order makes the fit repeatable
-    found = rows.mapInArrow(extract, "buckets binary, y int").orderBy(F.xxhash64("buckets"), "buckets", "y").limit(sample_rows).collect()
+    found = rows.mapInArrow(tidy(extract), "buckets binary, y int").orderBy(F.xxhash64("buckets"), "buckets", "y").limit(sample_rows).collect()
     return fit([(np.frombuffer(r["buckets"], "<u4").astype(np.int64), r["y"]) for r in found], ratio, kept)
 
 
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(place)))], names=[*batch.schema.names, score_col])
 
-    return whole_texts(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return whole_texts(docs).mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.words import tidy
+
 
 def valid_vector(vector: Column) -> Column:
     """Not null or empty, all components finite, not all zero."""
@@ -37,7 +39,7 @@ def packed(df: DataFrame, column: str, *others: str) -> DataFrame:
 
     numbers = F.col(column) if kind == "<f4" else F.col(column).cast("array<double>")
     schema = T.StructType([T.StructField("vector", T.BinaryType()), *(df.schema[c] for c in others)])
-    return df.select(numbers.alias("vector"), *others).mapInArrow(run, schema)
+    return df.select(numbers.alias("vector"), *others).mapInArrow(tidy(run), schema)
 
 
 def matrix(column, kind: str) -> np.ndarray:
