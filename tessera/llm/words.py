@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
-#: Rows that a Python worker gets at a time.
-BATCH_ROWS = 2000
+#: Rows and bytes that a Python worker gets at a time.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,10 +53,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def whole_texts(docs: DataFrame) -> DataFrame:
-    """``docs`` for a Python stage over whole texts: its batches are cut to :data:`BATCH_ROWS` rows."""
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """``docs`` for Python stages over whole texts and packed rows: their batches are cut to the bounds above.
+
+    Batches lie outside the heap on both sides, so the session's defaults for short rows cost too much here.
+    """
+    conf, arrow = docs.sparkSession.conf, "spark.sql.execution.arrow."
+    if not 0 < int(conf.get(arrow + "maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set(arrow + "maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set(arrow + "maxBytesPerBatch", f"{BATCH_BYTES}b")
     return docs
 
 
