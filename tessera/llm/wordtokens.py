@@ -117,3 +117,8 @@ def word_tokenizer(path: str) -> WordTokenizer:
     if path not in _open:
         _open[path] = WordTokenizer(path)
     return _open[path]
+
+
+def forget_tokenizers() -> None:
+    """Drop this process's tokenizers and their caches, for a stage that needs none."""
+    _open.clear()
