@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, lm, near_vectors, ngram_join, packing, suffix_dedup, tokenfile, toxicity, urlfilter
+from tessera.llm import ann, lm, near_vectors, ngram_join, packing, pieces, suffix_dedup, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.ngram_join_query,
+    "op2_pieces": pieces.pieces_query,
     "op3_near_vectors": near_vectors.near_vectors_query,
     "op4_toxicity": toxicity.toxicity_query,
     "op5_url_filters": urlfilter.url_filter_query,
