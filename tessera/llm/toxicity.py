@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import tidy, whole_texts
+from tessera.llm.words import give_back, tidy, whole_texts
 from tessera.storage import materialize
 
 ORDERS = (4, 6, 8)
@@ -150,25 +150,39 @@ def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, kept: np.ndarray,
     labels = np.array([y for _, y in rows], dtype=np.float64)
     positive = labels.sum()
     prior = (positive + 1) / (len(labels) + 2)
-    none = ToxicityModel(np.zeros(1 << HASH_BITS), float(np.log(prior / (1 - prior))))
+    none = ToxicityModel(np.zeros(1 << HASH_BITS, np.float32), float(np.log(prior / (1 - prior))))
     if positive in (0, len(labels)):
         return none
     size = 1 << HASH_BITS
     place = np.zeros(size, np.int64)
     place[kept] = np.arange(len(kept))
-    row = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
-    column = place[np.concatenate([b for b, _ in rows])]
-    scale = ratio[kept][column]
+    size_of = np.array([len(b) for b, _ in rows])
+    column = place[np.concatenate([b for b, _ in rows])].astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size_of)
+    scale = ratio[kept].astype(np.float32)
+    by_column = np.argsort(column, kind="stable")
+    row = row[by_column]
+    row_first = np.cumsum(size_of) - size_of
+    column_size = np.bincount(column, minlength=len(kept))
+    column_first = np.cumsum(column_size) - column_size
+    del by_column
+
+    def sums(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(first))
+        some = count > 0
+        if some.any():
+            out[some] = np.add.reduceat(values, first[some], dtype=np.float64)
+        return out
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = w[-1] + np.bincount(row, weights=scale * w[column], minlength=len(rows))
+        z = w[-1] + sums((scale * w[:-1].astype(np.float32))[column], row_first, size_of)
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
         value = np.logaddexp(0, np.where(labels > 0, -z, z)).sum() + penalty / 2 * (w[:-1] @ w[:-1])
-        grad = np.append(np.bincount(column, weights=scale * error[row], minlength=len(kept)) + penalty * w[:-1], error.sum())
-        return value, grad
+        own = sums(error.astype(np.float32)[row], column_first, column_size)
+        return value, np.append(scale * own + penalty * w[:-1], error.sum())
 
     w = _minimise(loss, np.append(np.zeros(len(kept)), none.bias))
-    weights = np.zeros(size)
+    weights = np.zeros(size, np.float32)
     weights[kept] = w[:-1] * ratio[kept]
     return ToxicityModel(weights, float(w[-1]))
 
@@ -212,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = np.zeros((2, slots, size // slots), np.int64)
     for r in summed:
         total[:, r["slot"]] += np.frombuffer(r["counts"], np.int64).reshape(2, -1)
-    clean, toxic = total.reshape(2, size).astype(np.float64)
+    clean, toxic = total.reshape(2, size).astype(np.float32)
     ratio, kept = log_count_ratios(toxic, clean)
     wanted = np.zeros(size, dtype=bool)
     wanted[kept] = True
@@ -228,7 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # repeated ids are cut to the bound too; the order makes the fit repeatable
     found = rows.mapInArrow(tidy(extract), "buckets binary, y int").orderBy(F.xxhash64("buckets"), "buckets", "y").limit(sample_rows).collect()
-    return fit([(np.frombuffer(r["buckets"], "<u4").astype(np.int64), r["y"]) for r in found], ratio, kept)
+    model = fit([(np.frombuffer(r["buckets"], "<u4"), r["y"]) for r in found], ratio, kept)
+    del found
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
