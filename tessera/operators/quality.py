@@ -123,6 +123,11 @@ def _checks(name: str, df: DataFrame, settings: Settings) -> list[Check]:
     return out
 
 
+def record_checks(name: str, df: DataFrame, settings: Settings) -> list[Check]:
+    """The checks that need nothing but the record itself."""
+    return [c for c in _checks(name, df, settings) if c.dimension != "uniqueness" and "orphan" not in c.name]
+
+
 def checked(name: str, df: DataFrame, settings: Settings, known: DataFrame | None = None, stewardship: DataFrame | None = None) -> DataFrame:
     """The entity's rows with ``_issues``, an array of the checks that they fail."""
     facts = _facts(name, df, known, stewardship)
