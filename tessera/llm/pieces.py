@@ -34,8 +34,6 @@ SPACE = 0x2581
 N_BEST = 3
 #: Ids from here on stand for a character in byte pieces.
 AS_BYTES = 1 << 22
-#: Longer chunks are solved one by one, so that a batch stays small.
-LONG = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,10 +96,13 @@ class PieceModel:
         total, power = _totals(points)
         span = min(size, self.longest)
         edge = np.full((n, size, span), -1, np.int32)
-        none = np.full(n, -1, np.float32)
-        for length in range(1, span + 1):
-            for i in range(size - length + 1):
-                edge[:, i, length - 1] = self.table.find(_point_hash(total, power, i, i + length), none)
+        places = [(i, length) for length in range(1, span + 1) for i in range(size - length + 1)]
+        keys = np.empty((len(places), n), np.int64)
+        for k, (i, length) in enumerate(places):
+            keys[k] = _point_hash(total, power, i, i + length)
+        found = self.table.find(keys.reshape(-1), np.full(keys.size, -1, np.float32)).reshape(keys.shape)
+        for k, (i, length) in enumerate(places):
+            edge[:, i, length - 1] = found[k]
         lone = edge[:, :, 0] < 0
         edge[:, :, 0][lone] = AS_BYTES + points[lone].astype(np.int32)
         score = np.where(edge < 0, -np.inf, np.where(edge >= AS_BYTES, self.byte_score, self.score[np.where(edge < AS_BYTES, edge, 0)]))
@@ -156,7 +157,7 @@ class PieceModel:
         flat, owner = [], []
         for size in np.unique(length).tolist():
             group = np.flatnonzero(length == size)
-            batch = 4096 if size <= LONG else max(1, 4096 * LONG // size // size)
+            batch = max(1, min(4096, 400_000 // (size * min(size, self.longest))))
             for k in range(0, len(group), batch):
                 at = group[k : k + batch]
                 points = np.frombuffer("".join(texts[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), size)
