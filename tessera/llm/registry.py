@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op3_near_vectors": near_vectors.near_vectors_query,
     "op5_url_filters": urlfilter.URL_FILTER_SQL,
 }
