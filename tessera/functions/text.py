@@ -93,5 +93,7 @@ def issue_text(c: Column, kind: str) -> Column:
     """A value as an issue shows it: numbers as decimals with one digit at least."""
     if kind in ("double", "float"):
         whole = F.concat(c.cast("decimal(38,0)").cast("string"), F.lit(".0"))
-        return F.coalesce(F.when(c == F.floor(c), whole).otherwise(c.cast("string")), F.lit(""))
+        digits = c.cast("string")  # shortest digits, with an exponent beyond 10**7
+        plain = F.regexp_replace(digits.try_cast("decimal(38,12)").cast("string"), "0+$", "")
+        return F.coalesce(F.when(c == F.floor(c), whole).otherwise(F.coalesce(plain, digits)), F.lit(""))
     return clean(c)
