@@ -38,6 +38,8 @@ SAMPLE_ROWS = 10_000
 #: Features that keep a weight.
 KEPT = 8192
 THRESHOLD = 0.3
+#: Rows whose gradient is taken at a time.
+BLOCK_ROWS = 200
 CHUNK_CHARS = 1 << 19
 
 #: ASCII letters in lower case, digits as they are, all else as a space: words end alike before any mark.
@@ -154,32 +156,27 @@ def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, kept: np.ndarray,
     if positive in (0, len(labels)):
         return none
     size = 1 << HASH_BITS
-    place = np.zeros(size, np.int64)
+    place = np.zeros(size, np.uint16)
     place[kept] = np.arange(len(kept))
-    size_of = np.array([len(b) for b, _ in rows])
-    column = place[np.concatenate([b for b, _ in rows])].astype(np.int32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size_of)
-    scale = ratio[kept].astype(np.float32)
-    by_column = np.argsort(column, kind="stable")
-    row = row[by_column]
-    row_first = np.cumsum(size_of) - size_of
-    column_size = np.bincount(column, minlength=len(kept))
-    column_first = np.cumsum(column_size) - column_size
-    del by_column
-
-    def sums(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(first))
-        some = count > 0
-        if some.any():
-            out[some] = np.add.reduceat(values, first[some], dtype=np.float64)
-        return out
+    scale = ratio[kept].astype(np.float64)
+    # blocks of rows: only two bytes a feature are held, all else is made for a block at a time
+    blocks = []
+    for at in range(0, len(rows), BLOCK_ROWS):
+        own = [b for b, _ in rows[at : at + BLOCK_ROWS]]
+        blocks.append((at, place[np.concatenate(own)], np.array([len(b) for b in own])))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = w[-1] + sums((scale * w[:-1].astype(np.float32))[column], row_first, size_of)
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
-        value = np.logaddexp(0, np.where(labels > 0, -z, z)).sum() + penalty / 2 * (w[:-1] @ w[:-1])
-        own = sums(error.astype(np.float32)[row], column_first, column_size)
-        return value, np.append(scale * own + penalty * w[:-1], error.sum())
+        value, grad, scaled = penalty / 2 * (w[:-1] @ w[:-1]), np.zeros(len(w)), scale * w[:-1]
+        for at, column, count in blocks:
+            row = np.repeat(np.arange(len(count)), count)
+            z = w[-1] + np.bincount(row, weights=scaled[column], minlength=len(count))
+            y = labels[at : at + len(count)]
+            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+            value += np.logaddexp(0, np.where(y > 0, -z, z)).sum()
+            grad[:-1] += np.bincount(column, weights=error[row], minlength=len(kept))
+            grad[-1] += error.sum()
+        grad[:-1] = scale * grad[:-1] + penalty * w[:-1]
+        return value, grad
 
     w = _minimise(loss, np.append(np.zeros(len(kept)), none.bias))
     weights = np.zeros(size, np.float32)
