@@ -48,6 +48,8 @@ RUN = 8
 #: Words that surround a selected place in any of its windows.
 BEFORE = PASSAGE - RUN
 HOT = 20_000
+#: Places whose surroundings are built at a time.
+PLACES = 2048
 #: Bits of the map of repeated runs, in 8 slices; its size does not depend on the corpus.
 MAP_BITS = 26
 
@@ -141,16 +143,16 @@ def _surroundings(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterat
             marked = bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1 > 0
             text, place, run, first, last = (x[marked] for x in found)
             short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
-            for a in range(0, len(place), 8192):
-                at = place[a : a + 8192]
+            for a in range(0, len(place), PLACES):
+                at = place[a : a + PLACES]
                 span = at[:, None] + np.arange(-BEFORE, PASSAGE)
-                doc = text[a : a + 8192]
-                inside = (span >= first[a : a + 8192, None]) & (span < last[a : a + 8192, None] + PASSAGE)
+                doc = text[a : a + PLACES]
+                inside = (span >= first[a : a + PLACES, None]) & (span < last[a : a + PLACES, None] + PASSAGE)
                 around = np.where(inside, short[np.clip(span, 0, len(short) - 1)], 0).astype(">u4")
                 raw = around.tobytes()
                 step = 4 * (BEFORE + PASSAGE)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(run[a : a + 8192].view(np.int64)), pa.array(own[row + doc]), pa.array((at - bounds[doc]).astype(np.int32)),
+                    pa.array(run[a : a + PLACES].view(np.int64)), pa.array(own[row + doc]), pa.array((at - bounds[doc]).astype(np.int32)),
                     pa.array([raw[i * step : (i + 1) * step] for i in range(len(at))], pa.binary()),
                 ], names=["run", "doc", "place", "around"])
 
