@@ -9,15 +9,18 @@ round at most. Rounds grow with the logarithm of the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialize
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
-    return tuple(row)
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Write edges, and take their number and an order-free digest on the way."""
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.hash("a", "b").cast("long")).alias("s")]
+    table = materialize(edges.observe(seen, *metrics), "cc")
+    return table, (seen.get["n"], seen.get["x"], seen.get["s"])
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,14 +45,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     a, b = F.col(src), F.col(dst)
     pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
-    state = materialize(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "cc")
-    before = _fingerprint(state)
+    state, before = _written(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     if before[0]:
         for _ in range(max_rounds):
             step = _star(state, large=True).distinct()
-            following = materialize(_star(step, large=False).distinct(), "cc")
+            following, after = _written(_star(step, large=False).distinct())
             discard(state)
-            state, after = following, _fingerprint(following)
+            state = following
             if after == before:
                 break
             before = after
