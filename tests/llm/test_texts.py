@@ -245,6 +245,20 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert r[0] > r[1]
 
 
+def test_lm_weights_learn_from_all_training_windows(spark):
+    _, rows = documents(spark)
+    packed = frame(spark, rows[:200]).coalesce(1).mapInArrow(lm._pack(WORDS, 4), lm.PACKED).where("kind = 2").select("grp", "a", "b", "held").cache()
+    weights, vocabulary = lm.train_model(packed, end := wordtokens.word_tokenizer(WORDS).vocab_size)
+    start = lm_model.start_weights(vocabulary, np.zeros((vocabulary.size, lm_model.CLASSES)))["v"]
+    learnt = set(np.flatnonzero((weights["v"] != start).any(axis=1)).tolist())
+    seen = {vocabulary.begin}
+    for _, ids, firsts, training in lm._texts(packed.toArrow().combine_chunks().to_batches()[0], end):
+        for t in np.flatnonzero(training):
+            seen |= set(vocabulary.inputs[ids[firsts[t] : firsts[t + 1] - 1]].tolist())
+    packed.unpersist()
+    assert len(seen) > 100 and learnt == seen
+
+
 def test_model_gradients_and_probabilities():
     rng = np.random.default_rng(0)
     counts, contexts = rng.integers(1, 50, 2000), rng.integers(0, 9, (2000, 8))
