@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def _of(make: Callable[[Pipeline], DataFrame], **settings) -> Query:
     return lambda spark, sf_dir: make(pipeline(spark, sf_dir, **settings))
 
 
-def _dimension(name: str) -> Query:
+def _dimension(name: str, fuzzy: bool) -> Query:
     def make(p: Pipeline) -> DataFrame:
         rows = None
         for entity in ENTITIES:
@@ -37,7 +38,7 @@ def _dimension(name: str) -> Query:
             rows = own if rows is None else rows.unionByName(own)
         return rows
 
-    return _of(make)
+    return _of(make, fuzzy=fuzzy)
 
 
 def _all_issues(p: Pipeline) -> DataFrame:
@@ -96,30 +97,38 @@ def queries() -> dict[str, Query]:
         "golden_matches": _of(lambda p: matching.golden_matches(p.std["golden_map"])),
         "fuzzy_candidate_pairs": _of(_candidates), "fuzzy_levenshtein_pairs": _of(lambda p: matching.edit_distance_pairs(matching.with_keys(p.std)["accounts"], "account_id", "match_key_name", p.settings)),
         "fuzzy_matches_accounts": _of(lambda p: _fuzzy(p, "accounts", "match_key_name")), "fuzzy_matches_contacts": _of(lambda p: _fuzzy(p, "contacts", "match_key_email")),
-        "match_table": _of(lambda p: p.matches), "match_summary": _of(lambda p: matching.match_summary(p.matches)),
-        "dedup_kpis": _of(lambda p: clusters.dedup_kpis({n: p.std[n] for n in ENTITIES}, p.each(p.dedup), {n: e.kind for n, e in ENTITIES.items()})),
+        "survivorship_tiers": _survivors, "exact_documents": _exact_documents, "unlabelled_documents": _unlabelled, "page_formats": _page_formats, "conversation_roles": _turn_counts,
+        "full_run_governance": _of(lambda p: p.governance, fuzzy=True),
+    }
+    whole = {f"full_{name}": query for name, query in _matched(fuzzy=True).items() if name != "governance_metrics"}
+    return out | _matched(fuzzy=False) | whole
+
+
+def _matched(fuzzy: bool) -> dict[str, Query]:
+    """The queries that read match edges, of the whole job or without the fuzzy edges that SQL cannot express."""
+    of = partial(_of, fuzzy=fuzzy)
+    out: dict[str, Query] = {
+        "match_table": of(lambda p: p.matches), "match_summary": of(lambda p: matching.match_summary(p.matches)),
+        "dedup_kpis": of(lambda p: clusters.dedup_kpis({n: p.std[n] for n in ENTITIES}, p.each(p.dedup), {n: e.kind for n, e in ENTITIES.items()})),
     }
     for name in ENTITIES:
         out |= {
-            f"cluster_map_{name}": _of(lambda p, n=name: p.clusters(n)), f"dedup_{name}": _of(lambda p, n=name: p.dedup[n]),
-            f"record_quality_{name}": _of(lambda p, n=name: p.record_quality[n]), f"golden_{name}": _of(lambda p, n=name: p.golden[n]),
+            f"cluster_map_{name}": of(lambda p, n=name: p.clusters(n)), f"dedup_{name}": of(lambda p, n=name: p.dedup[n]),
+            f"record_quality_{name}": of(lambda p, n=name: p.record_quality[n]), f"golden_{name}": of(lambda p, n=name: p.golden[n]),
         }
-    out |= {f"dq_issues_{d}": _dimension(d) for d in Settings().weights}
+    out |= {f"dq_issues_{d}": _dimension(d, fuzzy) for d in Settings().weights}
     out |= {
-        "dq_scores": _of(lambda p: p.scores), "crm_health": _of(lambda p: p.scores.where("entity = 'CRM HEALTH SCORE'").select("score")),
-        "dq_check_summary": _of(lambda p: quality.check_summary(_all_issues(p))),
-        "dq_issues_all_known_accounts": _of(lambda p: p.issues["contacts"].where("dq_check = 'consistency_orphan_contact_account_id'"), orphan_scope="all"),
-        "survivorship_tiers": _survivors,
-        "golden_summary": _of(lambda p: golden.golden_summary(p.each(p.golden))), "golden_coverage": _of(lambda p: analytics.golden_coverage(p.each(p.golden))),
-        "governance_metrics": _of(lambda p: p.governance), "quality_bands": _of(lambda p: analytics.quality_bands(p.each(p.record_quality))),
-        "executive_summary": _of(lambda p: analytics.executive_summary(p.each(p.golden), p.business)),
-        "business_analytics_dataset": _of(lambda p: analytics.business_dataset(p.each(p.golden), p.business, p.settings)),
-        "segmentation": _of(lambda p: analytics.segmentation(p.business)),
-        "exact_documents": _exact_documents, "unlabelled_documents": _unlabelled, "page_formats": _page_formats, "conversation_roles": _turn_counts,
-        "full_run_governance": _of(lambda p: p.governance, fuzzy=True),
+        "dq_scores": of(lambda p: p.scores), "crm_health": of(lambda p: p.scores.where("entity = 'CRM HEALTH SCORE'").select("score")),
+        "dq_check_summary": of(lambda p: quality.check_summary(_all_issues(p))),
+        "dq_issues_all_known_accounts": of(lambda p: p.issues["contacts"].where("dq_check = 'consistency_orphan_contact_account_id'"), orphan_scope="all"),
+        "golden_summary": of(lambda p: golden.golden_summary(p.each(p.golden))), "golden_coverage": of(lambda p: analytics.golden_coverage(p.each(p.golden))),
+        "governance_metrics": of(lambda p: p.governance), "quality_bands": of(lambda p: analytics.quality_bands(p.each(p.record_quality))),
+        "executive_summary": of(lambda p: analytics.executive_summary(p.each(p.golden), p.business)),
+        "business_analytics_dataset": of(lambda p: analytics.business_dataset(p.each(p.golden), p.business, p.settings)),
+        "segmentation": of(lambda p: analytics.segmentation(p.business)),
     }
     for name in ("lead_funnel", "lead_source_performance", "industry_distribution", "country_distribution", "account_size_distribution", "revenue_distribution", "job_title_distribution", "leads_by_industry"):
-        out[name] = _of(lambda p, n=name: p.business[n])
+        out[name] = of(lambda p, n=name: p.business[n])
     return out
 
 
@@ -137,4 +146,4 @@ def _fuzzy(p: Pipeline, name: str, exact_key: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match, merge, score and report: the governance metrics of a run."""
-    return pipeline(spark, sf_dir).governance
+    return pipeline(spark, sf_dir, fuzzy=True).governance

@@ -29,6 +29,45 @@ def test_fuzzy_run(spark):
     assert QUERIES["full_run_governance"](spark, FOLDER).count() == 15
 
 
+def test_whole_matches_clusters_and_masters(spark):
+    import difflib
+
+    from test_operators import union_find
+
+    from tessera.config import ENTITIES
+
+    rows = lambda name: QUERIES[name](spark, FOLDER).collect()
+    edges, kinds = {}, {"accounts": "ACCOUNT", "contacts": "CONTACT", "leads": "LEAD"}
+    for rank, names in enumerate((["golden_matches"], [f"exact_matches_{n}" for n in kinds])):
+        for r in (r for name in names for r in rows(name)):
+            edges.setdefault((r["entity_type"], r["source_record_id"], r["matched_record_id"]), (rank, 1.0))
+    for name, own in (("accounts", "match_key_name"), ("contacts", "match_key_name")):
+        matched = {x for r in rows(f"exact_matches_{name}") for x in (r["source_record_id"], r["matched_record_id"])}
+        keys = sorted((r[own], r[f"{name[:-1]}_id"]) for r in rows(f"match_keys_{name}") if r[own] and r[f"{name[:-1]}_id"] not in matched)
+        for i, (a, a_id) in enumerate(keys):
+            for b, b_id in keys[i + 1 : i + 11]:
+                ratio = difflib.SequenceMatcher(None, a, b).ratio()
+                if ratio >= 0.75:
+                    edges.setdefault((kinds[name], b_id, a_id), (2, round(ratio, 4)))
+    got = {(r["entity_type"], r["source_record_id"], r["matched_record_id"]): (["GOLDEN", "EXACT", "FUZZY"].index(r["match_type"]), r["match_score"]) for r in rows("full_match_table")}
+    assert got == edges and {("ACCOUNT", 2), ("CONTACT", 2)} <= {(k[0], v[0]) for k, v in got.items()}
+    first = {}
+    for r in rows("std_golden_map"):
+        if r["golden_record_id"] is not None and r["account_id"] is not None:
+            first[r["golden_record_id"]] = min(first.get(r["golden_record_id"], r["account_id"]), r["account_id"])
+    for name, kind in kinds.items():
+        root = union_find((a, b) for k, a, b in edges if k == kind)
+        master = {r[ENTITIES[name].id_col] for r in rows(f"std_{name}")}
+        members = {}
+        for x in master | set(root):
+            members.setdefault(root.get(x, x), set()).add(x)
+        heads = {min(m & set(first.values()) if name == "accounts" and m & set(first.values()) else m): m for m in members.values()}
+        assert {r["record_id"]: (r["canonical_id"], r["cluster_size"]) for r in rows(f"full_cluster_map_{name}")} == {x: (h, len(m)) for h, m in heads.items() for x in m}
+        kept = {r[ENTITIES[name].id_col]: r["absorbed_ids"] for r in rows(f"full_dedup_{name}")}
+        assert kept == {h: ",".join(sorted(m - {h})) for h, m in heads.items() if h in master}
+        assert {r[f"surviving_{ENTITIES[name].id_col}"] for r in rows(f"full_golden_{name}")} <= master
+
+
 def test_entry_imports():
     entry = importlib.import_module("__spark_entry__")
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
