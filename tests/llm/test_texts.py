@@ -294,3 +294,20 @@ def test_windows_score_every_position_once():
             if s + k < lengths[t] and (s == 0 or k >= lm_model.OVERLAP):
                 seen[firsts[t] + s + k] += 1
     assert (seen == 1).all()
+
+
+def test_scored_ids_have_half_a_window_of_context():
+    rng = np.random.default_rng(1)
+    counts, contexts = rng.integers(1, 50, 2000), rng.integers(0, 9, (2000, 8))
+    vocabulary = lm_model.make_vocabulary(counts, contexts)
+    w = lm_model.start_weights(vocabulary, rng.integers(0, 5, (vocabulary.size, lm_model.CLASSES)).astype(float))
+    w["m"] *= 200
+    ids = rng.integers(0, 1999, 150)
+    inputs = np.concatenate(([vocabulary.begin], vocabulary.inputs[ids[:-1]]))
+    want, half = vocabulary.log_share[ids].sum(dtype=np.float64), lm_model.WINDOW // 2
+    for i in range(len(ids)):
+        start = max(0, i // half - 1) * half
+        x = np.full((1, lm_model.WINDOW), vocabulary.begin)
+        x[0, : i + 1 - start] = inputs[start : i + 1]
+        want += lm_model.class_log_probabilities(w, x, np.full(x.shape, vocabulary.classes[ids[i]]))[0, i - start]
+    assert lm_model.text_log_probabilities(w, vocabulary, ids, np.array([0, len(ids)])) == pytest.approx([want], abs=1e-2)
