@@ -3,17 +3,24 @@
 Iterative operators cut their lineage by writing a table to the folder that
 the cluster names in ``spark.checkpoint.dir`` and reading it back: the files
 outlive any executor, keep column statistics and are read through Spark's own
-readers, so the folder may be on any store Spark can reach.
+readers, so the folder may be on any store Spark can reach. Files stay as long
+as lazy results may read them; :func:`scratch_files` deletes those of a finished step.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def build_session(app: str = "tessera", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the defaults this engine expects; ``conf`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app).master(master)
@@ -50,7 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    for paths in _scopes.get()[-1:]:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -63,10 +73,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_files(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end all files that were written to the shared folder in between.
+
+    What is read later has to be written elsewhere, or handed on with :func:`hand_on`.
+    """
+    token = _scopes.set((*_scopes.get(), []))
+    try:
+        yield _scopes.get()[-1]
+    finally:
+        paths = _scopes.get()[-1]
+        _scopes.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def hand_on(df: DataFrame) -> DataFrame:
+    """Keep a materialised table beyond the innermost :func:`scratch_files`; the next one around it owns it."""
+    scopes, path = _scopes.get(), getattr(df, "_tessera_path", None)
+    if scopes and path in scopes[-1]:
+        scopes[-1].remove(path)
+        for paths in scopes[-2:-1]:
+            paths.append(path)
+    return df
