@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 1 << 20
+#: Tables of fewer bytes a core than this are dealt anew if they come in fewer files than there are cores.
+SMALL_BYTES = 16 << 20
 #: Rows and bytes that a Python worker gets at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -52,6 +54,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal the rows of a small table over all cores: a file's row group is never read by several tasks.
+
+    Tables of many files, and large ones, are left as they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < SMALL_BYTES * cores and 0 < len(rows.inputFiles()) < cores else rows
+
+
 def whole_texts(docs: DataFrame) -> DataFrame:
     """``docs`` for Python stages over whole texts and packed rows: their batches are cut to the bounds above.
 
@@ -61,7 +73,15 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(arrow + "maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set(arrow + "maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set(arrow + "maxBytesPerBatch", f"{BATCH_BYTES}b")
-    return docs
+    return spread(docs)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no column of that name."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
 
 
 def give_back() -> None:
