@@ -2,22 +2,26 @@
 
 A text's features are the distinct character n-grams (4, 6 and 8 characters, A-Z folded,
 ASCII marks as spaces, one space at either end) of the whole text, hashed to 2**20
-buckets. Each feature is
-scaled by its log-count ratio between labelled classes; logistic regression on the
-scaled features gives the weights (Wang and Manning, 2012).
+buckets. Each feature is scaled by its naive Bayes log-count ratio between labelled classes
+(times the ratio's size, so that features with little evidence count little); logistic
+regression on the scaled features, by dual coordinate ascent, gives the weights (Wang and
+Manning, 2012). Every bucket that a sampled row has keeps its weight.
 
 The fit uses a bounded sample of labelled rows, :data:`SAMPLE_ROWS` at most, taken in
-the order of a hash of the id, whatever the corpus; every text is scored.
+the order of a hash of the id, whatever the corpus; it runs in one task that holds
+four bytes for each feature of these rows. Every text is scored.
 
 Null and empty texts have only the n-grams of the padding and get the score of a
 text without evidence. Without labelled rows of both classes every score is the
-smoothed share of label 1. Rows without an id are scored, but not held out or learnt
+smoothed share of label 1, and the model says so in ``evidence``. Rows without an id are scored, but not held out or learnt
 from; repeated rows are scored one by one; of contradicting labels of an id the
-larger counts.
+larger counts. Empty tables give no rows. A text is held whole by one task, some 50 bytes for
+each of its characters. Other columns are kept; one that has the name of the score is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,18 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import give_back, tidy, whole_texts
-from tessera.storage import materialize
+from tessera.llm.words import tidy, whole_texts
+from tessera.storage import discard, materialize
 
 ORDERS = (4, 6, 8)
 HASH_BITS = 20
 #: Labelled rows the fit sees at most.
 SAMPLE_ROWS = 10_000
-#: Features that keep a weight.
-KEPT = 8192
 THRESHOLD = 0.3
-#: Rows whose gradient is taken at a time.
-BLOCK_ROWS = 200
+#: Weight of the squared weights, and the square of the constant feature whose weight is the bias.
+PENALTY, BIAS_SQUARE = 2.0, 100.0
+#: Pseudo-count of a bucket over both classes, and passes over the sampled rows.
+SMOOTHING, PASSES = 30.0, 32
 CHUNK_CHARS = 1 << 19
 
 #: ASCII letters in lower case, digits as they are, all else as a space: words end alike before any mark.
@@ -70,27 +74,27 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield made()
 
 
-def _features(points: np.ndarray, ends: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(text, bucket)`` pairs of a chunk, by text; with ``wanted`` only of the buckets it marks."""
-    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
-    pairs = []
+def _features(points: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text of a chunk, in no order."""
+    hashes = []
     for n in ORDERS:
-        m = len(points) - n + 1
-        if m <= 0:
-            continue
+        m = max(0, len(points) - n + 1)
         h = points[:m] * _STEP[n, 0]
         for k in range(1, n):
             h += points[k : k + m] * _STEP[n, k]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
         h >>= np.uint32(32 - HASH_BITS)
-        inside = text[:m] == text[n - 1 :]
-        if wanted is not None:
-            inside &= wanted[h]
-        at = np.flatnonzero(inside)
-        pairs.append((text[at].astype(np.int64) << HASH_BITS) | h[at])
-    found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    return found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
+        hashes.append(h)
+    stamp, number = np.empty(1 << HASH_BITS, np.uint32), np.arange(len(ORDERS) * len(points), dtype=np.uint32)
+    start = 0
+    for end in ends.tolist():
+        found = np.concatenate([h[start : max(start, end - n + 1)] for n, h in zip(ORDERS, hashes, strict=True)])
+        # of equal buckets the one that stamped last stays
+        own = number[: len(found)]
+        stamp[found] = own
+        yield found[stamp[found] == own]
+        start = end
 
 
 @dataclass(frozen=True)
@@ -99,89 +103,70 @@ class ToxicityModel:
 
     weights: np.ndarray
     bias: float
+    evidence: bool = True
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        out, wanted = [np.zeros(0)], self.weights != 0
-        for _, points, ends in _chunks(texts):
-            text, bucket = _features(points, ends, wanted)
-            z = self.bias + np.bincount(text, weights=self.weights[bucket], minlength=len(ends))
-            out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-        return np.concatenate(out)
-
-
-def _minimise(f, x: np.ndarray, steps: int = 120, memory: int = 10) -> np.ndarray:
-    """L-BFGS with backtracking; ``f`` gives value and gradient."""
-    value, grad = f(x)
-    past: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
-        q, alphas = grad.copy(), []
-        for s, y, rho in reversed(past):
-            alphas.append(rho * (s @ q))
-            q -= alphas[-1] * y
-        if past:
-            s, y, _ = past[-1]
-            q *= (s @ y) / (y @ y)
-        for (s, y, rho), a in zip(past, reversed(alphas), strict=True):
-            q += s * (a - rho * (y @ q))
-        slope, step = -(grad @ q), 1.0
-        while True:
-            new = x - step * q
-            new_value, new_grad = f(new)
-            if new_value <= value + 1e-4 * step * slope or step < 1e-10:
-                break
-            step /= 2
-        s, y = new - x, new_grad - grad
-        if s @ y > 1e-12:
-            past = [*past[1 - memory :], (s, y, 1 / (s @ y))]
-        done = value - new_value < 1e-9 * max(1.0, abs(value))
-        x, value, grad = new, new_value, new_grad
-        if done:
+        sums = [self.weights[found].sum(dtype=np.float64) for _, points, ends in _chunks(texts) for found in _features(points, ends)]
+        return 1 / (1 + np.exp(-np.clip(self.bias + np.array(sums, np.float64), -500, 500)))
+
+
+def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """Naive Bayes log-count ratio of every bucket, from the rows of either class that have it.
+
+    Pseudo-counts follow the classes' sizes, so a bucket that no row has gets 0.
+    """
+    every = max(toxic.sum() + clean.sum(), 1.0)
+    logs = []
+    for own in (toxic, clean):
+        pseudo = smoothing * max(own.sum(), 1e-9) / every
+        logs.append(np.log(own + pseudo) - np.log(own.sum() + pseudo))
+    return logs[0] - logs[1]
+
+
+def feature_scales(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """What a present bucket counts: the signed square of its ratio."""
+    ratio = log_count_ratios(toxic, clean)
+    return ratio * np.abs(ratio)
+
+
+def _dual_step(pull: float, own: float, norm: float, cost: float) -> float:
+    """The dual variable in ``(0, cost)`` where ``norm * (a - own) + pull + log(a / (cost - a))`` is zero, by bisection."""
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        u = (low + high) / 2
+        if norm * (cost / (1 + math.exp(-u)) - own) + pull + u > 0:
+            high = u
+        else:
+            low = u
+    return cost / (1 + math.exp(-u))
+
+
+def fit(rows: list[tuple[np.ndarray, int]], scale: np.ndarray, penalty: float = PENALTY, passes: int = PASSES, tolerance: float = 1e-3) -> ToxicityModel:
+    """Logistic regression on ``(distinct buckets, label)`` rows: ``penalty / 2`` times the squared weights plus the losses."""
+    positive = sum(y for _, y in rows)
+    prior = (positive + 1) / (len(rows) + 2)
+    size, cost = 1 << HASH_BITS, 1 / penalty
+    if positive in (0, len(rows)):
+        return ToxicityModel(np.zeros(size, np.float32), float(np.log(prior / (1 - prior))), False)
+    squares = (scale * scale).astype(np.float64)
+    weights, bias = np.zeros(size), 0.0  # weights times scales: what a present feature adds
+    dual = [1e-9 * cost] * len(rows)
+    norms = [float(squares[x].sum()) + BIAS_SQUARE for x, _ in rows]
+    rng = np.random.Generator(np.random.PCG64(4))
+    moved = np.ones(len(rows))
+    for k in range(passes):
+        # rows that have settled are looked at in every fourth pass only
+        for i in rng.permutation(len(rows) if k % 4 == 0 else np.flatnonzero(moved > tolerance)).tolist():
+            x, y = rows[i][0], 1.0 if rows[i][1] else -1.0
+            new = _dual_step(y * (float(weights[x].sum()) + bias), dual[i], norms[i], cost)
+            move, dual[i] = new - dual[i], new
+            moved[i] = abs(move) / cost
+            if move:
+                weights[x] += move * y * squares[x]
+                bias += move * y * BIAS_SQUARE
+        if moved.max() < tolerance:
             break
-    return x
-
-
-def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, smoothing: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Naive Bayes ratio of every bucket, and the buckets with most support for either class."""
-    ratio = np.log((toxic + smoothing) / (toxic + smoothing).sum()) - np.log((clean + smoothing) / (clean + smoothing).sum())
-    support = np.abs(ratio) * np.sqrt(toxic + clean)
-    return ratio, np.sort(np.argpartition(support, -KEPT)[-KEPT:])
-
-
-def fit(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, kept: np.ndarray, penalty: float = 0.2) -> ToxicityModel:
-    """Fit on ``(distinct kept buckets, label)`` rows."""
-    labels = np.array([y for _, y in rows], dtype=np.float64)
-    positive = labels.sum()
-    prior = (positive + 1) / (len(labels) + 2)
-    none = ToxicityModel(np.zeros(1 << HASH_BITS, np.float32), float(np.log(prior / (1 - prior))))
-    if positive in (0, len(labels)):
-        return none
-    size = 1 << HASH_BITS
-    place = np.zeros(size, np.uint16)
-    place[kept] = np.arange(len(kept))
-    scale = ratio[kept].astype(np.float64)
-    # blocks of rows: only two bytes a feature are held, all else is made for a block at a time
-    blocks = []
-    for at in range(0, len(rows), BLOCK_ROWS):
-        own = [b for b, _ in rows[at : at + BLOCK_ROWS]]
-        blocks.append((at, place[np.concatenate(own)], np.array([len(b) for b in own])))
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        value, grad, scaled = penalty / 2 * (w[:-1] @ w[:-1]), np.zeros(len(w)), scale * w[:-1]
-        for at, column, count in blocks:
-            row = np.repeat(np.arange(len(count)), count)
-            z = w[-1] + np.bincount(row, weights=scaled[column], minlength=len(count))
-            y = labels[at : at + len(count)]
-            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-            value += np.logaddexp(0, np.where(y > 0, -z, z)).sum()
-            grad[:-1] += np.bincount(column, weights=error[row], minlength=len(kept))
-            grad[-1] += error.sum()
-        grad[:-1] = scale * grad[:-1] + penalty * w[:-1]
-        return value, grad
-
-    w = _minimise(loss, np.append(np.zeros(len(kept)), none.bias))
-    weights = np.zeros(size, np.float32)
-    weights[kept] = w[:-1] * ratio[kept]
-    return ToxicityModel(weights, float(w[-1]))
+    return ToxicityModel(weights.astype(np.float32), float(bias))
 
 
 def held_out(id_col: str):
@@ -201,11 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, size), np.int64)
         for batch in batches:
-            toxic = batch.column(1).to_numpy() > 0
+            toxic = (batch.column(1).to_numpy() > 0).astype(int).tolist()
             for first, points, ends in _chunks(batch.column(0)):
-                text, bucket = _features(points, ends)
-                for side in (0, 1):
-                    counts[side] += np.bincount(bucket[toxic[first + text] == side], minlength=size)
+                for i, found in enumerate(_features(points, ends)):
+                    counts[toxic[first + i], found] += 1  # distinct buckets
         if counts.any():
             cut = counts.reshape(2, slots, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots, dtype=np.int32)), pa.array([cut[:, i].tobytes() for i in range(slots)], pa.binary())], names=["slot", "counts"])
@@ -218,36 +202,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 sums[slot] = sums[slot] + own if slot in sums else own
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot", "counts"])
 
-    rows = materialize(rows.select("t", "y"), "labelled")  # bounded by the sample, read three times
+    rows = materialize(rows.select("t", "y"), "labelled")  # bounded by the sample, read twice
     summed = rows.mapInArrow(tidy(count), "slot int, counts binary").repartition(slots, "slot").mapInArrow(tidy(add), "slot int, counts binary").collect()
     total = np.zeros((2, slots, size // slots), np.int64)
     for r in summed:
         total[:, r["slot"]] += np.frombuffer(r["counts"], np.int64).reshape(2, -1)
-    clean, toxic = total.reshape(2, size).astype(np.float32)
-    ratio, kept = log_count_ratios(toxic, clean)
-    wanted = np.zeros(size, dtype=bool)
-    wanted[kept] = True
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    clean, toxic = total.reshape(2, size).astype(np.float64)
+    shared = docs.sparkSession.sparkContext.broadcast(feature_scales(toxic, clean).astype(np.float32))  # 4 MB, whatever the corpus
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, points, ends in _chunks(batch.column(0)):
-                text, bucket = _features(points, ends, shared.value)
-                cuts = np.searchsorted(text, np.arange(len(ends) + 1))
-                packed = [bucket[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                packed = [found.tobytes() for found in _features(points, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).slice(first, len(ends))], names=["buckets", "y"])
 
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(x.as_buffer(), "<u4"), y) for batch in batches for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+        model = fit(held, shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.evidence])], names=["weights", "bias", "evidence"])
+
     # repeated ids are cut to the bound too; the order makes the fit repeatable
-    found = rows.mapInArrow(tidy(extract), "buckets binary, y int").orderBy(F.xxhash64("buckets"), "buckets", "y").limit(sample_rows).collect()
-    model = fit([(np.frombuffer(r["buckets"], "<u4"), r["y"]) for r in found], ratio, kept)
-    del found
-    give_back()
-    return model
+    found = rows.mapInArrow(tidy(extract), "buckets binary, y int").withColumn("h", F.xxhash64("buckets"))
+    chosen = found.orderBy("h", "y").limit(sample_rows).repartition(1).sortWithinPartitions("h", "y").select("buckets", "y")
+    r = chosen.mapInArrow(tidy(solve), "weights binary, bias double, evidence boolean").first()
+    shared.destroy()
+    discard(rows)
+    return ToxicityModel(np.frombuffer(r["weights"], np.float32), r["bias"], r["evidence"]) if r else fit([], np.zeros(size))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Add the score of every whole text; all columns are kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the corpus
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == score_col.lower()])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
