@@ -2,10 +2,13 @@
 
 Vectors are normalised; in each of several tables a few quantised random
 projections name a bucket, and vectors of equal label that share a bucket are
-compared by their exact cosine. With the defaults a pair at cosine 0.93 meets in at
-least one table with probability 0.999, and closer pairs more surely.
+compared by their exact cosine. The number of tables follows from the projections in each,
+so that a pair at the threshold meets in at least one table with probability
+``1 - MISSED``, and closer pairs more surely, at every size of the input. The number of projections
+grows with the logarithm of the largest label: more of them make chance meetings rarer, so the work grows
+slower than the square of the input (:func:`plan_tables`).
 
-Equal vectors of one label are one class. A pair of classes is counted in the first
+Equal vectors of one label are one class with a key of its own. A pair of classes is counted in the first
 table where it meets, so no list of pairs is made: tasks return sums of links and
 the edges of a spanning forest. Buckets beyond ``block`` classes are cut into
 blocks and joined block by block.
@@ -13,11 +16,13 @@ blocks and joined block by block.
 Vectors that are null, empty, all zero or hold null or non-finite components, vectors
 without a label and rows without an id link with nothing and are kept. Vectors of
 different length are never linked. Repeated rows are linked like other equal
-vectors.
+vectors, and so are rows that repeat an id with other vectors: each row has the links of its own vector. Empty tables
+give no rows. Only the three named columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +36,27 @@ from tessera.llm.words import tidy
 from tessera.storage import materialize
 
 COSINE = 0.93
-TABLES, PER_TABLE, WIDTH, SEED = 16, 6, 2.0, 3
+WIDTH, SEED, MISSED = 2.0, 3, 1e-3
 BLOCK = 1024
+#: Costs of one table entry, and of one comparison, in the same unit (about 5 ns).
+ENTRY_COST, COMPARE_COST = 400, 1
+
+
+def meeting(distance: float, width: float) -> float:
+    """Probability that one quantised Gaussian projection of ``width`` puts two points in one cell (Datar et al., 2004)."""
+    r = width / max(distance, 1e-9)
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def plan_tables(classes: int, cosine: float = COSINE, width: float = WIDTH) -> tuple[int, int]:
+    """Tables and projections a table for ``classes`` vectors of one label: the cheapest that keep the promise on links."""
+    near, far = meeting(math.sqrt(max(0.0, 2 - 2 * cosine)), width), meeting(math.sqrt(2), width)
+    options = []
+    for per_table in range(4, 33):
+        tables = max(1, math.ceil(math.log(MISSED) / math.log1p(-min(near**per_table, 1 - 1e-9))))
+        options.append((tables * (ENTRY_COST + classes * far**per_table * COMPARE_COST), tables, per_table))
+    _, tables, per_table = min(options)
+    return tables, per_table
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -103,15 +127,18 @@ def _links(kind: str, cosine: float, codes_of):
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE,
-    tables: int = TABLES, per_table: int = PER_TABLE, width: float = WIDTH, block: int = BLOCK,
+    tables: int | None = None, per_table: int | None = None, width: float = WIDTH, block: int = BLOCK,
 ) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     kind = stored_type(vectors, vector_col)
-    codes_of = _codes(kind, tables, per_table, width)
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     usable = valid_vector(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = packed(named.where(usable), "embedding", "vec_id", "label")
-    classes = materialize(rows.groupBy("label", "vector").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies")), "vector-classes")
+    grouped = rows.groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
+    if tables is None or per_table is None:
+        tables, per_table = plan_tables(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, cosine, width)
+    codes_of = _codes(kind, tables, per_table, width)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +166,11 @@ def near_vectors(
     found = materialize(
         placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_links(kind, cosine, codes_of)), "src long, dst long, links long"), "vector-links"
     )
-    heads = connected_components(found.where("src <> dst").select("src", "dst").distinct())
+    heads = connected_components(found.where("src <> dst").select("src", "dst").distinct()).select(F.col("node").alias("cid"), F.col("component").alias("head"))
     sums = found.groupBy(F.col("src").alias("cid")).agg(F.sum("links").alias("links"))
-    judged = classes.join(sums, "cid", "left").join(heads.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    judged = judged.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    headed = classes.join(sums, "cid", "left").join(heads, "cid", "left").withColumn("head", F.coalesce("head", "cid"))
+    judged = headed.join(headed.groupBy("head").agg(F.min("least").alias("component_id")), "head")
+    judged = judged.select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     linked = rows.join(judged, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     apart = named.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(apart).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
