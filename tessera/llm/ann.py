@@ -5,16 +5,20 @@ each table, its own bucket and then the buckets whose perturbed cells are likeli
 to hold near vectors, in the order of the squared distances to the crossed cell
 borders. Candidates of all tables are ranked by their exact distance.
 
-The cell width is set from the median distance of a bounded sample
-(:data:`SAMPLE` vectors); all vectors are indexed. Random vectors in 64 dimensions
-leave little contrast, so the default probes visit most buckets there: on the
-51,282-row test table recall at 10 is about 0.96.
+The cell width and the number of probes are fitted on a bounded sample (:data:`SAMPLE` vectors, in the
+order of a hash): as many probes as :data:`FITTED` of the sample's near pairs need to meet in
+a table. All vectors are indexed. Where near vectors are much nearer than others, few
+probes do; random vectors in 64 dimensions leave little contrast, and most of them
+are visited (README).
 
 Equal vectors are stored once with their ``k + 1`` smallest ids, all that a result
-can use. A query with fewer than ``k`` results from its probes is compared with all
+can use, and equal query vectors are searched once. Only probes of buckets that hold something travel; large
+buckets are cut into blocks. A query with fewer than ``k`` results from its probes is compared with all
 vectors, in blocks. Vectors that are null, empty, zero or hold null or non-finite
 components, and rows without an id, take no part; vectors of another length are no
-candidates. Repeated rows are separate candidates only if their ids differ.
+candidates. Repeated rows are separate candidates only if their ids differ; a query id that comes with
+several vectors is searched with the smallest of them in the order of their bytes. Empty tables give no rows. Only
+the two named columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import Projections, matrix, packed, sorted_groups, stored_type, valid_vector
-from tessera.llm.words import tidy
+from tessera.llm.words import spread, tidy
 from tessera.storage import materialize
 
-TABLES, PER_TABLE, PROBES, WIDTH, SEED = 4, 5, 100, 1.4, 10
-#: Vectors that set the cell width.
-SAMPLE = 1000
+TABLES, PER_TABLE, WIDTH, SEED = 4, 10, 2.5, 10
+#: Vectors that set the cell width and the probes, the share of near pairs that must meet, and the most probes of a table.
+SAMPLE, FITTED, MOST_PROBES = 1000, 0.95, 512
+#: Queries whose results a task holds at a time.
+HELD = 4096
 #: Vectors of one bucket that a task compares at a time.
 BLOCK = 4096
 
@@ -58,11 +64,40 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
     return np.array(out)
 
 
+def needed_probes(hasher: Projections, x: np.ndarray, near: int, queries: int = 100) -> int:
+    """Probes of each table after which :data:`FITTED` of the sample's ``near`` nearest pairs have met."""
+    far = ((x[:queries, None] - x[None]) ** 2).sum(axis=2) if len(x) <= 2000 else None
+    np.fill_diagonal(far, np.inf)
+    close = np.argsort(far, axis=1, kind="stable")[:, : min(near, len(x) - 1)]
+    places = hasher.places(x)
+    codes = hasher.keys(np.floor(places))
+    needed = np.full(close.shape, MOST_PROBES)
+    for i in range(len(close)):
+        for t in range(hasher.tables):
+            rank: dict[int, int] = {}
+            for n, code in enumerate(hasher.keys(probe_cells(places[i, t], MOST_PROBES)).tolist()):
+                rank.setdefault(code, n + 1)
+            needed[i] = np.minimum(needed[i], [rank.get(c, MOST_PROBES) for c in codes[close[i], t].tolist()])
+    return max(8, int(np.quantile(needed, FITTED, method="higher")))
+
+
 def _nearest(kind: str, k: int):
-    """Best ``k`` of each query over all buckets of the task; rows are ``t, code, block, query, ids, vector``."""
+    """Best ``k + 1`` of each query over the buckets of a task; rows are ``t, code, block, query, ids, vector``.
+
+    ``compared`` counts the distances taken for a query, in rows of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[float, int]]] = {}
+        taken: dict[int, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            flat = [(q, d, s, 0) for q, top in best.items() for s, d in top] + [(q, None, None, n) for q, n in taken.items()]
+            best.clear()
+            taken.clear()
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate(kinds)], names=["query", "vec_id", "score", "compared"])
+
         for rows in sorted_groups(batches, 3):
             query = rows.column(3).to_numpy(zero_copy_only=False)
             asks = np.isfinite(query.astype(np.float64))
@@ -81,29 +116,32 @@ def _nearest(kind: str, k: int):
                 for q, x in zip(query[at].astype(np.int64).tolist(), matrix(vectors.take(pa.array(at)), kind), strict=True):
                     gap = table - x
                     far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                    taken[q] = taken.get(q, 0) + len(far)
                     near = np.flatnonzero(far <= np.partition(far, k)[k]) if len(far) > k + 1 else range(len(far))
-                    top = best.setdefault(q, [])
-                    seen = set(top)
-                    new = {(float(far[i]), d) for i in near for d in own[i] if d != q} - seen
+                    seen = set(best.setdefault(q, []))
+                    new = {(float(far[i]), d) for i in near for d in own[i]} - seen
                     if new:
-                        best[q] = heapq.nsmallest(k, seen | new)
-        flat = [(q, d, s) for q, top in best.items() for s, d in top]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                        best[q] = heapq.nsmallest(k + 1, seen | new)
+            if len(best) >= HELD:
+                yield flush()
+        yield flush()
 
     return run
 
 
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    tables: int = TABLES, per_table: int = PER_TABLE, probes: int = PROBES, width: float = WIDTH,
+    tables: int = TABLES, per_table: int = PER_TABLE, probes: int | None = None, width: float = WIDTH,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest rows of ``vectors`` found for each row of ``queries``."""
-    spark = vectors.sparkSession
+    """``query_id, rank, vec_id, score, compared``: the ``k`` nearest rows of ``vectors`` found for each row of ``queries``.
+
+    ``compared`` is the number of distances taken for the query's vector.
+    """
     kind = stored_type(vectors, vector_col)
 
     def clean(df: DataFrame) -> DataFrame:
         named = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-        return packed(named.where(valid_vector(F.col("v")) & F.col("id").isNotNull()), "v", "id")
+        return packed(spread(named).where(valid_vector(F.col("v")) & F.col("id").isNotNull()), "v", "id")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,20 +152,24 @@ def nearest_neighbours(
 
     short = clean(vectors).mapInArrow(tidy(shorten), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     stored = materialize(short.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")), "ann-vectors")
-    sample = stored.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE).collect()
-    scale: dict[int, float] = {}
-    for dim in {len(r[0]) for r in sample}:
-        x = np.stack([np.frombuffer(r[0], kind) for r in sample if len(r[0]) == dim]).astype(np.float64)
-        gaps = np.sqrt(((x[: len(x) // 2, None] - x[None, len(x) // 2 : len(x) // 2 + 50]) ** 2).sum(axis=2))
-        scale[dim] = float(np.median(gaps[gaps > 0])) / np.sqrt(2) if (gaps > 0).any() else 1.0
+    total = stored.count()
+    sample = stored.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
     step = np.dtype(kind).itemsize
     hashers: dict[int, Projections] = {}
+    depth = {}
 
-    def hasher(size: int) -> Projections:
+    def hasher(size: int, scale: float = 1.0) -> Projections:
         if size not in hashers:
-            hashers[size] = Projections(size // step, tables, per_table, width * scale.get(size, 1.0), SEED)
+            hashers[size] = Projections(size // step, tables, per_table, width * scale, SEED)
         return hashers[size]
 
+    for dim in sorted({len(r[0]) for r in sample}):
+        x = np.stack([np.frombuffer(r[0], kind) for r in sample if len(r[0]) == dim]).astype(np.float64)
+        gaps = np.sqrt(((x[: len(x) // 2, None] - x[None, len(x) // 2 : len(x) // 2 + 50]) ** 2).sum(axis=2))
+        own = hasher(dim, float(np.median(gaps[gaps > 0])) / np.sqrt(2) if (gaps > 0).any() else 1.0)
+        # of k neighbours among all vectors, so many are expected in the sample
+        depth[dim] = probes or (needed_probes(own, x, max(1, round(k * len(sample) / total))) if len(x) > 1 else 8)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.array([len(x.as_buffer()) for x in batch.column(0)])
@@ -143,36 +185,43 @@ def nearest_neighbours(
                 raw = batch.column(0)[i].as_py()
                 own = hasher(len(raw))
                 places = own.places(np.frombuffer(raw, kind).astype(np.float64)[None])[0]
-                codes = [np.unique(own.keys(probe_cells(places[t], probes))) for t in range(tables)]
+                codes = [np.unique(own.keys(probe_cells(places[t], depth.get(len(raw), MOST_PROBES)))) for t in range(tables)]
                 t = np.repeat(np.arange(tables, dtype=np.int32), [len(c) for c in codes])
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(codes)), pa.array([batch.column(1)[i].as_py()] * len(t), pa.int64()), pa.array([raw] * len(t), pa.binary())], names=["t", "code", "query", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.concatenate(codes)), pa.array([batch.column(1)[i].as_py()] * len(t), pa.int64())], names=["t", "code", "query"])
 
     none, no_query = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
-    asked = materialize(clean(queries).dropDuplicates(["id"]), "ann-queries")
-    entries = stored.select("vector", "ids").mapInArrow(tidy(index), "t int, code long, ids array<long>, vector binary")
-    visits = asked.select("vector", "id").mapInArrow(tidy(visit), "t int, code long, query long, vector binary")
-    large = entries.groupBy("t", "code").count().where(F.col("count") > BLOCK)
-    large = large.select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(1))
-    held = entries.join(large, ["t", "code"], "left").select("t", "code", F.pmod(F.xxhash64("vector"), blocks).cast("int").alias("block"), no_query.alias("query"), "ids", "vector")
-    asks = visits.join(large, ["t", "code"], "left").select("t", "code", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "query", none.alias("ids"), "vector")
+    # one vector for each query id, one query for each vector
+    wanted = clean(queries).groupBy("id").agg(F.min("vector").alias("vector"))
+    wanted = materialize(wanted, "ann-queries")
+    asked = materialize(wanted.select("vector").distinct().withColumn("query", F.monotonically_increasing_id()), "ann-query-vectors")
+    entries = materialize(stored.select("vector", "ids").mapInArrow(tidy(index), "t int, code long, ids array<long>, vector binary"), "ann-entries")
+    visits = asked.select("vector", "query").mapInArrow(tidy(visit), "t int, code long, query long")
+    sizes = entries.groupBy("t", "code").count().select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    large = sizes.where("blocks > 1")
+    held = entries.join(large, ["t", "code"], "left").select("t", "code", F.pmod(F.xxhash64("vector"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), no_query.alias("query"), "ids", "vector")
+    met = visits.join(sizes, ["t", "code"]).join(asked, "query")
+    asks = met.select("t", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query", none.alias("ids"), "vector")
 
     def compare(rows: DataFrame) -> DataFrame:
         placed = rows.repartition("t", "code", "block").sortWithinPartitions("t", "code", "block")
-        return placed.mapInArrow(tidy(_nearest(kind, k)), "query_id long, vec_id long, score double")
+        return placed.mapInArrow(tidy(_nearest(kind, k)), "query long, vec_id long, score double, compared long")
 
     found = materialize(compare(held.unionByName(asks)), "ann-found")
-    distinct = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    short_of = asked.join(distinct.groupBy("query_id").count().where(F.col("count") >= k), F.col("id") == F.col("query_id"), "left_anti")
-    if not short_of.select("id").isEmpty():
+    enough = found.where("vec_id IS NOT NULL").select("query", "vec_id").distinct().groupBy("query").count().where(F.col("count") > k)
+    short_of = asked.join(enough, "query", "left_anti")
+    if not short_of.select("query").isEmpty():
         # too few neighbours in the visited buckets: these queries meet every vector, block by block
-        n = max(1, -(-stored.count() // BLOCK))
+        n = max(1, -(-total // BLOCK))
         everything = stored.select(F.lit(0).alias("t"), F.pmod(F.xxhash64("vector"), F.lit(n)).alias("code"), F.lit(0).alias("block"), no_query.alias("query"), "ids", "vector")
-        all_asks = short_of.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("code"), F.lit(0).alias("block"), F.col("id").alias("query"), none.alias("ids"), "vector")
-        more = compare(everything.unionByName(all_asks))
-        distinct = found.unionByName(more).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        all_asks = short_of.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("code"), F.lit(0).alias("block"), "query", none.alias("ids"), "vector")
+        found = found.unionByName(compare(everything.unionByName(all_asks)))
+    # a query's own id is among the k + 1 nearest of its vector
+    each = found.groupBy("query", "vec_id").agg(F.min("score").alias("score"), F.sum("compared").alias("compared"))
+    each = each.withColumn("compared", F.sum("compared").over(Window.partitionBy("query"))).where("vec_id IS NOT NULL")
+    first = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1)
+    named = wanted.join(asked, "vector").select(F.col("id").alias("query_id"), "query").join(first, "query").where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return distinct.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
 
 
 def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
