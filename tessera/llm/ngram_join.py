@@ -1,25 +1,30 @@
 """Exact Jaccard self-join of 5-word shingle sets, by prefix trees.
 
 1. *Classes.* Each text's set of shingle hashes gets an order-free digest; texts with equal
-   sets are one class and take part once.
+   sets are one class and take part once. The same pass finds the hot shingles: tasks report what
+   :data:`OFTEN` texts of a flush share, and a reported shingle with ``hot`` texts or more is hot.
 2. *Global order.* Sorted shingles travel as packed arrays, one per bucket of the hash
    space; a bucket counts in how many classes each of its shingles occurs. Shingles are
-   ordered rarest first. Those of one class only cannot match and stay at home.
+   ordered rarest first. Those of one class only cannot match and stay at home. Hot shingles, a bounded list,
+   are not counted but stand last in the order, so no bucket holds the texts of one of them. The number of
+   buckets follows the shingles of the input.
 3. *Prefixes.* Two sets with similarity 0.8 or more share one of their first
    ``n - ceil(0.8 n) + 1`` shingles. A class whose prefix holds only its own
    shingles is done; the others meet in candidate groups, the components of
    "shares a prefix shingle".
 4. *Tries.* A candidate group is joined in a trie (:mod:`tessera.llm.trie`). Groups beyond
-   ``block`` sets are cut into blocks; each block is joined by itself, then one set of
-   every block's groups against the others, and what is not yet in the main group of
-   its candidates is joined with every block. That misses no link: each pair meets in
-   a trie unless a chain of links joins it already.
+   ``block`` sets are cut into blocks by their rarest shingle; each block is joined by itself, then one set of
+   every block's groups against the others. What is then not yet in the main group of
+   its candidates is joined with the blocks that hold a set which shares a prefix shingle with it. That misses no link: each
+   pair that can link meets in a trie unless a chain of links joins it already.
 
 Shingles are compared by 56 bits and classes by 64 bits of their hashes.
 
 Null and empty texts, and texts of white space, have no shingles, are linked with
 nothing and are their own component. Texts under five words have one shingle. Rows
-with a null ``doc_id`` do not choose component ids.
+with a null ``doc_id`` do not choose component ids. Repeated rows are one class and share a component;
+an empty table gives no rows. Only the id and the text are read, and columns that are asked to be kept. A text is held
+whole by one task, some 60 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.trie import link_sets
 from tessera.llm.vectors import sorted_groups
@@ -42,6 +48,12 @@ WORDS = 5
 FLUSH = 3 << 20
 #: Sets in one trie.
 BLOCK = 512
+#: Texts of a flush that make a shingle worth a report, and texts that make a reported one hot.
+OFTEN, HOT = 8, 1 << 20
+#: Shingles of texts a bucket is for, and the least and most bits of a bucket's number.
+BUCKET_SHINGLES, BUCKET_BITS = 2 << 20, (4, 14)
+#: The count that hot shingles have in the global order.
+LAST = (1 << 32) - 1
 
 
 def distinct_grams(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +80,42 @@ def set_digests(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(sums + np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, count, data, offsets in text_chunks(batch.column(1)):
-            grams, first = distinct_grams(data, offsets)
-            size = np.diff(first)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(row, count), pa.array(size, pa.int64()),
-                pa.array(set_digests(grams, first).view(np.int64), mask=size == 0),
-            ], names=["doc_id", "n_shingles", "class"])
+def _classes(often: int, kept: list[str]):
+    """Size and class of each text's set, and rows ``gram, texts`` for shingles that many of a flush's sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, empty = [], 0, None
+
+        def report() -> pa.RecordBatch:
+            grams, texts = np.unique(np.concatenate(held), return_counts=True)
+            grams, texts = grams[texts >= often], texts[texts >= often]
+            n = len(grams)
+            return pa.RecordBatch.from_arrays([
+                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(grams.view(np.int64)), pa.array(texts, pa.int64()), *(pa.nulls(n, c.type) for c in empty),
+            ], names=["doc_id", "n_shingles", "class", "gram", "texts", *kept])
+
+        for batch in batches:
+            empty = batch.columns[2:]
+            for row, count, data, offsets in text_chunks(batch.column(1)):
+                grams, first = distinct_grams(data, offsets)
+                n = np.diff(first)
+                digests = set_digests(grams, first)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(row, count), pa.array(n, pa.int64()), pa.array(digests.view(np.int64), mask=n == 0),
+                    pa.nulls(count, pa.int64()), pa.nulls(count, pa.int64()), *(c.slice(row, count) for c in empty),
+                ], names=["doc_id", "n_shingles", "class", "gram", "texts", *kept])
+                # equal sets of a chunk count once
+                once = np.zeros(count, dtype=bool)
+                once[np.unique(digests, return_index=True)[1]] = True
+                held.append(grams[np.repeat(once, n)])
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield report()
+                    held, size = [], 0
+        if size:
+            yield report()
+
+    return run
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -91,8 +130,12 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _postings(bits: int):
-    """Pack each task's ``(shingle, class)`` pairs by bucket; a class counts once in a flush."""
+def _postings(bits: int, hot: np.ndarray):
+    """Pack each task's ``(shingle, class)`` pairs by bucket; a class counts once in a flush.
+
+    Pairs of hot shingles are packed by the part of their class, as buckets beyond the others.
+    """
+    parts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -109,17 +152,26 @@ def _postings(bits: int):
             own = np.repeat(rank, lengths[keep])
             sizes = np.empty(len(ids), np.int64)
             sizes[rank] = lengths[keep]
+            rows: list[list] = [[], [], [], [], []]
+
+            def put(number: int, grams: np.ndarray, own: np.ndarray) -> None:
+                used, which = np.unique(own, return_inverse=True)
+                for out, x in zip(rows, (number, _planes(grams, 7), _planes(which.astype(np.uint64), 3), ids[used].tobytes(), sizes[used].astype("<u4").tobytes()), strict=True):
+                    out.append(x)
+
+            if len(hot):
+                common = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                order = np.argsort(own[common], kind="stable")  # ids are sorted, so this is the order of classes
+                for part, at in enumerate(np.split(order, np.searchsorted(ids[own[common][order]], parts))):
+                    if len(at):
+                        put((1 << bits) + part, grams[common][at], own[common][at])
+                grams, own = grams[~common], own[~common]
             order = np.argsort(grams)
             grams, own = grams[order], own[order]
             cuts = np.searchsorted(grams, np.arange(1 << bits, dtype=np.uint64) << np.uint64(56 - bits))
-            cuts = np.append(cuts, len(grams))
-            rows: list[list] = [[], [], [], [], []]
-            for b in range(1 << bits):
-                lo, hi = cuts[b], cuts[b + 1]
+            for b, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(grams)], strict=True)):
                 if lo < hi:
-                    used, which = np.unique(own[lo:hi], return_inverse=True)
-                    for out, x in zip(rows, (b, _planes(grams[lo:hi], 7), _planes(which.astype(np.uint64), 3), ids[used].tobytes(), sizes[used].astype("<u4").tobytes()), strict=True):
-                        out.append(x)
+                    put(b, grams[lo:hi], own[lo:hi])
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], names=["bucket", "grams", "which", "ids", "sizes"])
 
         for batch in batches:
@@ -138,7 +190,7 @@ def _postings(bits: int):
 
 
 def _count(parts: int):
-    """In each bucket keep the shingles of two classes or more, and send them to their classes."""
+    """In each bucket keep the shingles of two classes or more, and send them to their classes; hot ones go there as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, 1):
@@ -149,22 +201,24 @@ def _count(parts: int):
                 classes.append(np.frombuffer(i, np.uint64)[which])
                 sizes.append(np.frombuffer(s, "<u4")[which])
             grams, classes, sizes = np.concatenate(grams), np.concatenate(classes), np.concatenate(sizes)
-            order = np.argsort(grams)
-            grams = grams[order]
-            same = grams[1:] == grams[:-1]
-            often = np.zeros(len(grams), dtype=bool)
-            often[1:] |= same
-            often[:-1] |= same
-            grams, order = grams[often], order[often]
-            classes, sizes = classes[order], sizes[order]
+            hot = rows.column(0)[0].as_py() >= parts
+            if not hot:
+                order = np.argsort(grams)
+                grams = grams[order]
+                same = grams[1:] == grams[:-1]
+                often = np.zeros(len(grams), dtype=bool)
+                often[1:] |= same
+                often[:-1] |= same
+                grams, order = grams[often], order[often]
+                classes, sizes = classes[order], sizes[order]
             order = np.lexsort((classes, grams))
             grams, classes, sizes = grams[order], classes[order], sizes[order]
             new = np.ones(len(grams), dtype=bool)
             new[1:] = (grams[1:] != grams[:-1]) | (classes[1:] != classes[:-1])
             grams, classes, sizes = grams[new], classes[new], sizes[new]
             _, which, count = np.unique(grams, return_inverse=True, return_counts=True)
-            often = count[which] > 1
-            grams, classes, sizes, count = grams[often], classes[often], sizes[often], count[which][often]
+            often = (count[which] > 1) | hot
+            grams, classes, sizes, count = grams[often], classes[often], sizes[often], np.where(hot, LAST, count[which][often])
             order = np.argsort(classes, kind="stable")
             grams, classes, sizes, count = grams[order], classes[order], sizes[order], count[order]
             cuts = np.searchsorted(classes, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))
@@ -250,35 +304,59 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     return rows.join(cut, "k").withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))))
 
 
-def _bucket_bits(spark: SparkSession) -> int:
-    """Bits of the hash space's buckets: one bucket or more for each shuffle partition, so their size stays as the input grows."""
-    return max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+def _bucket_bits(shingles: int) -> int:
+    """Bits of the hash space's buckets, from the number of shingles, so that a bucket's size stays as the input grows."""
+    least, most = BUCKET_BITS
+    return min(most, max(least, (shingles // BUCKET_SHINGLES).bit_length()))
 
 
-def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int | None = None, text_col: str = "text") -> DataFrame:
-    """Edges ``(src, dst)`` between classes of equal sets whose components are those of the similarity graph."""
-    bucket_bits = bucket_bits or _bucket_bits(docs.sparkSession)
-    buckets = whole_texts(docs).select(F.col(text_col).alias("t")).mapInArrow(tidy(_postings(bucket_bits)), "bucket int, grams binary, which binary, ids binary, sizes binary")
+def _members(sets: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """Sets with their candidate group ``k`` and a ``block`` in it; ``blocks`` is 1 for groups of one block.
+
+    Sets with one rarest shingle are of one block, unless they are more than half a block.
+    """
+    rarest = F.xxhash64(F.substring("grams", 1, 8))
+    rows = sets.join(groups, "class").withColumn("rarest", rarest)
+    cut = rows.groupBy("k").count().select("k", F.ceil(F.col("count") / block).cast("long").alias("blocks"))
+    often = rows.groupBy("k", "rarest").count().where(F.col("count") > block / 2).withColumnRenamed("count", "alike")
+    placed = rows.join(cut, "k").join(often, ["k", "rarest"], "left")
+    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("alike") / block))
+    number = F.when(F.col("blocks") == 1, 0).when(F.col("alike").isNull(), F.pmod("rarest", F.col("blocks"))).otherwise(F.xxhash64("rarest", salt))
+    return placed.withColumn("block", number).drop("rarest", "alike")
+
+
+def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int = BUCKET_BITS[0], text_col: str = "text", hot: np.ndarray | None = None) -> DataFrame:
+    """Edges ``(src, dst)`` between classes of equal sets whose components are those of the similarity graph.
+
+    ``hot`` are hashes of shingles, in order, that are not to be counted.
+    """
+    hot = np.zeros(0, np.uint64) if hot is None else hot
+    shared_hot = docs.sparkSession.sparkContext.broadcast(hot)
+    schema = "bucket int, grams binary, which binary, ids binary, sizes binary"
+    buckets = whole_texts(docs).select(F.col(text_col).alias("t")).mapInArrow(tidy(lambda batches: _postings(bucket_bits, shared_hot.value)(batches)), schema)
     parts = 1 << bucket_bits
     shared = (
-        buckets.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        buckets.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
         .mapInArrow(tidy(_count(parts)), "part int, ids binary, sizes binary, times binary, grams binary, counts binary")
     )
     sets = materialize(
-        shared.repartition(parts, "part").sortWithinPartitions("part")
+        shared.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
         .mapInArrow(tidy(_candidates), "class long, n long, prefix int, grams binary, counts binary"), "sets"
     )
     prefixes = sets.select("class", "prefix", "grams").mapInArrow(tidy(_prefix_rows), "gram long, class long")
     hubs = prefixes.groupBy("gram").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
     meets = prefixes.join(hubs, "gram").where("class <> hub").select(F.col("class").alias("src"), F.col("hub").alias("dst")).distinct()
     groups = connected_components(meets).select(F.col("node").alias("class"), F.col("component").alias("k"))
-    members = materialize(_blocked(sets.drop("prefix").join(groups, "class"), block), "members")
+    members = materialize(_members(sets, groups, block), "members")
     discard(sets)
     links = materialize(_run_blocks(members.withColumn("build", F.lit(True))), "links")
     large = members.where("blocks > 1")
     if large.select("k").isEmpty():
+        discard(members)
         return links
-    return links.unionByName(_across_blocks(large, links, block))
+    out = links.unionByName(_across_blocks(large, links, block))
+    discard(members)
+    return out
 
 
 def _across_blocks(large: DataFrame, links: DataFrame, block: int) -> DataFrame:
@@ -292,32 +370,49 @@ def _across_blocks(large: DataFrame, links: DataFrame, block: int) -> DataFrame:
     main = counts.groupBy("k").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     labelled = materialize(labelled.join(main, "k").withColumn("build", F.col("label") != F.col("main")).drop("label", "main"), "labelled")
     strays = labelled.where("build")
-    edges = between
-    if not strays.select("k").isEmpty():
-        # every block of strays meets every block of its candidate group
-        stray_blocks = strays.select("k", F.col("block").alias("sb")).distinct()
-        blocks = labelled.select("k", F.col("block").alias("ab")).distinct()
-        code = F.col("sb") * F.col("blocks") + F.col("ab")
-        rest = labelled.where("NOT build").join(stray_blocks, "k").withColumn("ab", F.col("block"))
-        rest = rest.withColumn("block", code).drop("sb", "ab")
-        built = strays.withColumn("sb", F.col("block")).join(blocks, "k").withColumn("block", code).drop("sb", "ab")
-        # strays of other blocks meet as probes of the block pair
-        other = strays.withColumn("ab", F.col("block")).join(stray_blocks, "k").where("sb <> ab").withColumn("block", code).withColumn("build", F.lit(False)).drop("sb", "ab")
-        edges = edges.unionByName(materialize(_run_blocks(built.unionByName(other).unionByName(rest)), "strays"))
-    return edges
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket_bits: int | None = None) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``."""
-    named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    sized = materialize(named.mapInArrow(tidy(_classes), "doc_id long, n_shingles long, class long"), "classes")
-    links = similar_classes(docs, block, bucket_bits, text_col)
+    if strays.select("k").isEmpty():
+        discard(labelled)
+        return between
+    # a stray meets the blocks of its candidate group in which a set shares a prefix shingle with it
+    places = labelled.select("class", "prefix", "grams", "k", "block", "build")
+    grams = places.select("class", "prefix", "grams").mapInArrow(tidy(_prefix_rows), "gram long, class long").join(places.drop("grams", "prefix"), "class")
+    wanted = grams.where("build").select("k", "gram", "class", F.col("block").alias("sb")).join(grams.select("k", "gram", F.col("block").alias("ab")).distinct(), ["k", "gram"])
+    wanted = materialize(wanted.select("k", "class", "sb", "ab").distinct(), "meetings")
+    code = F.xxhash64("sb", "ab")
+    pairs = wanted.select("k", "sb", "ab").distinct()
+    built = strays.drop("block").join(wanted.drop("k"), "class").withColumn("block", code)
+    # the others of a block, and strays whose own block it is, meet them as probes
+    probes = labelled.join(pairs, [labelled["k"] == pairs["k"], labelled["block"] == pairs["ab"]]).drop(pairs["k"])
+    probes = probes.where("NOT build OR sb <> ab").withColumn("block", code).withColumn("build", F.lit(False))
+    names = ["k", "block", "class", "n", "grams", "counts", "build"]
+    found = materialize(_run_blocks(built.select(*names).unionByName(probes.select(*names))), "strays")
+    discard(labelled)
+    discard(wanted)
+    return between.unionByName(found)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket_bits: int | None = None,
+    keep: tuple[str, ...] = (), hot: int = HOT, often: int = OFTEN,
+) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id``, and the columns ``keep`` of ``docs``."""
+    held = [f"kept_{i}" for i in range(len(keep))]
+    named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), *[F.col(c).alias(k) for c, k in zip(keep, held, strict=True)])
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "class", "gram", "texts")), *(T.StructField(f.name, f.dataType) for f in named.schema.fields[2:])])
+    rows = materialize(named.mapInArrow(tidy(_classes(often, held)), schema), "classes")
+    texts = rows.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= hot)
+    common = np.array([r["gram"] for r in texts.select("gram").collect()], np.int64)  # at most one for each `hot` shingles of the corpus
+    sized = rows.where("gram IS NULL").drop("gram", "texts")
+    if bucket_bits is None:
+        bucket_bits = _bucket_bits(sized.agg(F.sum("n_shingles")).first()[0] or 0)
+    links = similar_classes(docs, block, bucket_bits, text_col, np.sort(common.view(np.uint64)))
     heads = connected_components(links).select(F.col("node").alias("class"), "component")
     least = sized.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     headed = least.join(heads, "class", "left").withColumn("head", F.coalesce("component", "class"))
     best = headed.groupBy("head").agg(F.min("least").alias("component_id"))
     named_class = headed.join(best, "head").select("class", "component_id")
-    return sized.join(named_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = sized.join(named_class, "class", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *[F.col(k).alias(c) for c, k in zip(keep, held, strict=True)])
 
 
 def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
