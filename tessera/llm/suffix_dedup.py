@@ -8,7 +8,8 @@ found whole, word for word (A-Z folded), by sorting few suffixes:
    select the same place. About one word in twenty is selected; only these suffixes
    are kept.
 2. *Sorting.* A selected run that occurs once cannot be part of a repeat and is dropped, most
-   by a bitmap of fixed size that all tasks hold, the rest by a join.
+   by a bitmap that all tasks hold, the rest by a join. The bitmap has :data:`BITS_A_RUN` bits for each repeated
+   run, 2**28 (32 MB) at most; beyond that it lets more runs through to the join.
    The others carry the words around them, enough for every window that selected
    them. Rows with equal surroundings are merged, by map tasks first, to the smallest
    document and whether there are several. Suffixes are sorted, and neighbours give
@@ -25,9 +26,11 @@ window's hash meets its equals in an aggregation that Spark can combine in map
 tasks, with the same result.
 
 Null and empty texts and texts under ``PASSAGE`` words have no spans. Passages that repeat
-only inside one document are left alone, as are rows that share one ``doc_id``; rows
-with a null ``doc_id`` take no part. Words are compared by 32 bits of their hashes at 50
-places or more in a row.
+only inside one document are left alone, as are rows that share one ``doc_id``, whatever their texts; rows
+with a null ``doc_id`` take no part. Spans belong to an id and a text, so rows that repeat an id with
+other texts have spans of their own. Words are compared by 32 bits of their hashes at 50
+places or more in a row. Empty tables give no rows; only the id and the text are read. A text is held whole by one
+task, some 60 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.vectors import sorted_groups
-from tessera.llm.words import gram_hashes, text_chunks, tidy, whole_texts, word_hashes, word_spans
-from tessera.storage import materialize
+from tessera.llm.words import fresh, gram_hashes, text_chunks, tidy, whole_texts, word_hashes, word_spans
+from tessera.storage import discard, materialize
 
 PASSAGE = 50
 RUN = 8
@@ -50,8 +53,8 @@ BEFORE = PASSAGE - RUN
 HOT = 20_000
 #: Places whose surroundings are built at a time.
 PLACES = 2048
-#: Bits of the map of repeated runs, in 8 slices; its size does not depend on the corpus.
-MAP_BITS = 26
+#: Bits of the map for each repeated run, and the least and most bits of a place in the map.
+BITS_A_RUN, MAP_BITS = 32, (20, 28)
 
 
 def selected_places(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,32 +118,36 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _run_map(shared: DataFrame) -> np.ndarray:
-    """A bitmap with a bit set for every run of ``shared``; other runs' bits may be set too."""
-    slice_bits = MAP_BITS - 3
+    """A bitmap with a bit set for every run of ``shared``; other runs' bits may be set too.
+
+    Runs are the smallest hashes of their windows, so it is their low bits that are evenly spread.
+    """
+    least, most = MAP_BITS
+    bits = min(most, max(least, (BITS_A_RUN * shared.count()).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[int, np.ndarray] = {}
         for batch in batches:
-            bit = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
-            for slot in np.unique(bit >> np.uint64(slice_bits)).tolist():
-                own = slices.setdefault(slot, np.zeros(1 << slice_bits, dtype=bool))
-                own[(bit[bit >> np.uint64(slice_bits) == slot] & np.uint64((1 << slice_bits) - 1)).astype(np.int64)] = True
+            bit = batch.column(0).to_numpy() & ((1 << bits) - 1)
+            for slot in np.unique(bit & 7).tolist():
+                slices.setdefault(slot, np.zeros(1 << (bits - 3), dtype=bool))[bit[bit & 7 == slot] >> 3] = True
         for slot, own in slices.items():
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["slot", "bits"])
 
-    out = np.zeros((8, (1 << slice_bits) // 8), np.uint8)
-    for r in shared.repartition(8, F.shiftrightunsigned("run", 61)).mapInArrow(tidy(build), "slot int, bits binary").collect():
+    out = np.zeros((8, 1 << (bits - 6)), np.uint8)
+    for r in shared.repartitionById(8, F.col("run").bitwiseAND(7).cast("int")).mapInArrow(tidy(build), "slot int, bits binary").collect():
         out[r["slot"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+    return out
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Selected places whose run may repeat, with the words around them: zeros stand for what is outside the text."""
+    mask = bits.size * 8 - 1
     for batch in batches:
-        own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, key = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 2))
         for row, words, bounds, *found in _text_places(batch.column(1)):
-            bit = found[2] >> np.uint64(64 - MAP_BITS)
-            marked = bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1 > 0
+            bit = (found[2] & np.uint64(mask)).astype(np.int64)
+            marked = bits[bit & 7, bit >> 6] >> (7 - (bit >> 3 & 7)).astype(np.uint8) & 1 > 0
             text, place, run, first, last = (x[marked] for x in found)
             short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
             for a in range(0, len(place), PLACES):
@@ -152,9 +159,9 @@ def _surroundings(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterat
                 raw = around.tobytes()
                 step = 4 * (BEFORE + PASSAGE)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(run[a : a + PLACES].view(np.int64)), pa.array(own[row + doc]), pa.array((at - bounds[doc]).astype(np.int32)),
+                    pa.array(run[a : a + PLACES].view(np.int64)), pa.array(own[row + doc]), pa.array(key[row + doc]), pa.array((at - bounds[doc]).astype(np.int32)),
                     pa.array([raw[i * step : (i + 1) * step] for i in range(len(at))], pa.binary()),
-                ], names=["run", "doc", "place", "around"])
+                ], names=["run", "doc", "text_key", "place", "around"])
 
 
 def _common(rows: np.ndarray, breaks: np.ndarray) -> np.ndarray:
@@ -268,28 +275,28 @@ def _hot_repeats(hot: DataFrame) -> DataFrame:
 
 
 def _repeated_places(docs: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
-    """``doc, place, ranges`` for every selected place that has repeated windows."""
-    named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t")).where("doc IS NOT NULL")
+    """``doc, text_key, place, ranges`` for every selected place that has repeated windows."""
+    named = whole_texts(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"), text_key(text_col).alias("text_key")).where("doc IS NOT NULL")
     runs = named.mapInArrow(tidy(_runs), "run long, low long, high long").groupBy("run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = materialize(runs.where("low < high").select("run"), "runs")
-    bits = docs.sparkSession.sparkContext.broadcast(_run_map(shared))  # 8 MB, whatever the corpus
-    around = named.mapInArrow(tidy(lambda batches: _surroundings(batches, bits.value)), "run long, doc long, place int, around binary")
-    places = around.join(shared, "run", "left_semi")
-    places = materialize(places, "places")
+    bits = docs.sparkSession.sparkContext.broadcast(_run_map(shared))  # 32 MB at most
+    around = named.mapInArrow(tidy(lambda batches: _surroundings(batches, bits.value)), "run long, doc long, text_key long, place int, around binary")
+    places = materialize(around.join(shared, "run", "left_semi"), "places")
+    discard(shared)
     merged = materialize(places.groupBy("run", "around").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "surroundings")
     large = materialize(merged.groupBy("run").count().where(F.col("count") > hot).select("run"), "hot-runs")
     usual = merged.join(large, "run", "left_anti").select("run", "around", "low", "high").repartition("run").sortWithinPartitions("run")
     found = usual.mapInArrow(tidy(_repeats), REPEATS)
     if not large.isEmpty():
         found = found.unionByName(_hot_repeats(merged.join(large, "run", "left_semi").select("run", "around", "low", "high")))
-    return places.join(found, ["run", "around"]).select("doc", "place", "ranges")
+    return places.join(found, ["run", "around"]).select("doc", "text_key", "place", "ranges")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """``doc_id, start, low``: every repeated window by its first word, and the smallest document that has it."""
-    each = _repeated_places(docs, id_col, text_col, hot).select("doc", "place", F.explode("ranges").alias("r"))
-    each = each.select("doc", "place", "r.low", F.explode(F.sequence("r.low_offset", "r.high_offset")).alias("offset"))
-    return each.select(F.col("doc").alias("doc_id"), (F.col("place") - F.col("offset")).alias("start"), "low")
+    """``doc_id, text_key, start, low``: every repeated window by its first word, and the smallest document that has it."""
+    each = _repeated_places(docs, id_col, text_col, hot).select("doc", "text_key", "place", F.explode("ranges").alias("r"))
+    each = each.select("doc", "text_key", "place", "r.low", F.explode(F.sequence("r.low_offset", "r.high_offset")).alias("offset"))
+    return each.select(F.col("doc").alias("doc_id"), "text_key", (F.col("place") - F.col("offset")).alias("start"), "low")
 
 
 def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,32 +314,40 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
         removed, kept, firsts = [], [], []
-        for doc, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
             removed.append(union([(s["start"], s["end"]) for s in spans if s["low"] < doc]))
             kept.append(union([(s["start"], s["end"]) for s in spans if s["low"] >= doc]))
             firsts.append(sorted({s["low"] for s in spans if s["low"] < doc}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, span), pa.array(kept, span), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "removed", "kept", "first_doc_ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, span), pa.array(kept, span), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "text_key", "removed", "kept", "first_doc_ids"])
+
+
+def text_key(text_col: str):
+    """What tells the texts of rows with one id apart."""
+    return F.xxhash64(F.col(text_col))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per document with repeats: ``doc_id, removed, kept, first_doc_ids``.
+    """One row per document and text with repeats: ``doc_id, text_key, removed, kept, first_doc_ids``.
 
     ``removed`` and ``kept`` are arrays of ``(start, end)`` in words: maximal unions of
     windows that a smaller document has, and of those it has first.
     ``first_doc_ids`` lists the smaller documents.
     """
     spans = F.transform("ranges", lambda r: F.struct((F.col("place") - r["high_offset"]).alias("start"), (F.col("place") - r["low_offset"] + PASSAGE).alias("end"), r["low"].alias("low")))
-    lists = _repeated_places(docs, id_col, text_col, hot).groupBy("doc").agg(F.flatten(F.collect_list(spans)).alias("spans"))  # one text's spans
-    schema = "doc_id long, removed array<struct<start:int,end:int>>, kept array<struct<start:int,end:int>>, first_doc_ids array<long>"
-    return lists.select("doc", "spans").mapInArrow(tidy(_merge_spans), schema)
+    found = _repeated_places(docs, id_col, text_col, hot)
+    lists = found.groupBy("doc", "text_key").agg(F.flatten(F.collect_set(spans)).alias("spans"))  # one text's spans
+    schema = "doc_id long, text_key long, removed array<struct<start:int,end:int>>, kept array<struct<start:int,end:int>>, first_doc_ids array<long>"
+    return lists.select("doc", "text_key", "spans").mapInArrow(tidy(_merge_spans), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Cut removed spans out of texts; all rows and columns are kept.
 
-    Between what is left, the white space before the span stays. A text without repeats is unchanged.
+    Between what is left, the white space before the span stays. A text without repeats, and a null one, is unchanged.
     """
-    spans = repeated_spans(docs, id_col, text_col, hot).where(F.size("removed") > 0).select(F.col("doc_id").alias("_span_doc"), F.col("removed").alias("_spans"))
+    own_spans, own_doc, own_key = (fresh(docs, c) for c in ("_spans", "_span_doc", "_span_text"))
+    spans = repeated_spans(docs, id_col, text_col, hot).where(F.size("removed") > 0)
+    spans = spans.select(F.col("doc_id").alias(own_doc), F.col("text_key").alias(own_key), F.col("removed").alias(own_spans))
     names, place = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,16 +356,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, own in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if own:
                     raw = texts[i].encode()
-                    starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    starts, _, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
                     out, at = [], 0
                     for s in own:
                         out.append(raw[at : starts[s["start"]]])
                         at = int(starts[s["end"]]) if s["end"] < len(starts) else len(raw)
                     texts[i] = b"".join([*out, raw[at:]]).decode()
-            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns[:-1])]
+            columns = [pa.array(texts, batch.column(k).type) if k == place else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(spans, F.col(id_col) == F.col("_span_doc"), "left").drop("_span_doc").mapInArrow(tidy(cut), docs.schema)
+    same = (F.col(id_col).cast("long") == F.col(own_doc)) & (text_key(text_col) == F.col(own_key))
+    return docs.join(spans, same, "left").select(*[docs[c] for c in names], own_spans).mapInArrow(tidy(cut), docs.schema)
 
 
 def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
