@@ -1,12 +1,14 @@
 """URL filters by hashed host-suffix and path-prefix expressions, native SQL only.
 
-Every URL yields the expressions a rule could have: each suffix of its host at a
-label boundary, joined with each prefix of its path that is as long as some
-rule's path. Expressions meet rules on the first 32 bits of their SHA-256; the
+Every URL yields the expressions a rule could have: each suffix of its host that has as many
+labels as some rule's host, joined with each prefix of its path that is as long as some
+rule's path. So a URL has at most one expression for each such pair of sizes, however long it is. Expressions meet rules on the first 32 bits of their SHA-256; the
 full digest then confirms, and the longest rule wins.
 
 Null URLs and URLs without ``://`` have an empty host and path and match no rule.
-Ties in length are broken in favour of the longer host, then block.
+Ties in length are broken in favour of the longer host, then block. Repeated rows are judged
+one by one with one result; an empty table gives no rows, an empty rule table the default
+verdict. Only the id and the URL are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -48,12 +50,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rule = F.concat("host", "path")
     digests = rules.select(
         rule.alias("rule"), "verdict", F.length("host").alias("host_length"),
-        F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("digest"), F.length("path").alias("path_length"),
+        F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("digest"), F.length("path").alias("path_length"), F.size(F.split("host", r"\.")).alias("labels"),
     )
-    lengths = [r[0] for r in digests.select("path_length").distinct().collect()]  # at most one for each length a URL can have
-    known = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    sizes = digests.agg(F.collect_set("path_length").alias("paths"), F.collect_set("labels").alias("hosts")).first()  # one for each size a rule has
+    known, counts = (F.array(*[F.lit(n) for n in sorted(x)]).cast("array<int>") for x in (sizes["paths"], sizes["hosts"]))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter(counts, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     prefixes = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     urls = rows.select("host", "path").where(F.col("host") != "").distinct()
     expressions = (
