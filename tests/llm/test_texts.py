@@ -33,14 +33,14 @@ def documents(spark):
 # n-gram join
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize("block,hot", [(512, 1 << 20), (4, 9)])
+def test_near_duplicates(spark, block, hot):
     draw = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     base = [draw.choice(words) for _ in range(60)]
     rows = [(i, " ".join(w if draw.random() > 0.02 else draw.choice(words) for w in base)) for i in range(60)]
     rows += [(200 + i, " ".join(draw.choice("ab") for _ in range(draw.randint(0, 9)))) for i in range(80)] + [r for r in ODD if r[0] != 405]
-    found = ngram_join.near_duplicates(frame(spark, rows), block=block, bucket_bits=2).collect()
+    found = ngram_join.near_duplicates(frame(spark, rows), block=block, bucket_bits=2, hot=hot, often=2).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.near_duplicates(rows)
 
 
@@ -81,7 +81,7 @@ def test_repeated_passages(spark, hot):
     rows += [(100 + i, " ".join("a" * (45 + i))) for i in range(10)] + [(203, " ".join(words[:120] * 2)), (204, rows[3][1].upper()), (205, rows[3][1]), (None, rows[3][1])]
     rows += [r for r in ODD if r[0] != 405]
     df = frame(spark, rows)
-    got = [tuple(r) for r in suffix_dedup.repeated_windows(df, hot=hot).collect()]
+    got = [tuple(r) for r in suffix_dedup.repeated_windows(df, hot=hot).select("doc_id", "start", "low").collect()]
     assert len(got) == len(set(got)) and set(got) == brute.repeated_windows(rows)
     covered: dict = {}
     for d, start, low in got:
@@ -102,6 +102,17 @@ def test_no_passages(spark):
     assert suffix_dedup.repeated_spans(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_spans_belong_to_a_row(spark):
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(words[:70])
+    rows = [(1, passage), (2, "only three words"), (2, " ".join(words[200:230]) + " " + passage), (2, None), (2, "only three words"), (None, passage), (3, "")]
+    df = frame(spark, rows).withColumns({"_spans": F.lit(1), "_span_doc": F.lit("x"), "text_key": F.lit(0)})
+    out = suffix_dedup.remove_repeats(df)
+    assert out.columns == df.columns
+    texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert texts == sorted((d or 0, (t or "") if d != 2 or t is None or passage not in t else t[: -len(passage)]) for d, t in rows)
+
+
 # tokens
 
 
@@ -143,6 +154,24 @@ def test_token_files(spark, tmp_path):
     assert tokenfile.read_token_files(tokenfile.write_token_files(docs.limit(0), scratch_path(spark, "t"), WORDS, 2)).count() == 0
 
 
+def test_token_files_of_odd_rows(spark):
+    rows = [(7, "a b"), (None, "c"), (7, "a b"), (7, None), (3, "zz " * 40_000), (7, "other words")]
+    got = tokenfile.read_token_files(tokenfile.write_token_files(frame(spark, rows), scratch_path(spark, "t"), WORDS, 2)).collect()
+    own = {(d, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for (d, _), ids in zip(rows, whole([t for _, t in rows]), strict=True)}
+    assert {(r["doc_id"], r["ids_crc32"]) for r in got} == own and len(got) == len(rows)
+    got = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, 3, 7, 7, 7, 7]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(None, "a b"), (4, None), (4, None), (5, "zz " * 40_000)]
+    got = packing.pack_documents(frame(spark, rows), WORDS).collect()
+    lengths = [len(x) + 1 for x in whole([t for _, t in rows])]
+    assert sum(r["length"] for r in got) == sum(lengths) and sorted(r["length"] for r in got if r["doc_id"] in (None, 4)) == sorted(lengths[:3])
+    assert packing.pack_documents(frame(spark, rows).limit(0), WORDS).count() == 0
+
+
 def test_packing(spark):
     docs, rows = documents(spark)
     got = packing.pack_documents(docs.unionByName(spark.createDataFrame(ODD[:4], "doc_id long, text string")), WORDS).collect()
@@ -180,33 +209,60 @@ def test_bins_are_full():
 
 
 def every_segmentation(model, text):
+    """``(score, ids)`` of all segmentations; characters without a piece are their byte pieces."""
     if not text:
-        return [0.0]
+        return [(0.0, ())]
     out = []
     for k in range(1, len(text) + 1):
         piece = model.texts.get(text[:k])
         if piece is not None or k == 1:
+            ids = (piece,) if piece is not None else tuple(model.byte_id[b] for b in text[0].encode())
             own = float(model.score[piece]) if piece is not None else model.byte_score
-            out += [own + rest for rest in every_segmentation(model, text[k:])]
+            out += [(own + rest, ids + more) for rest, more in every_segmentation(model, text[k:])]
     return out
 
 
 def test_n_best_and_round_trip(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = pieces.PieceModel(path)
-    texts = ["ab a b", "to in\nthe  an", "it is", "é✓𝔘", "", None]
-    df = frame(spark, list(enumerate(texts)))
+    texts = ["ab a b", "to in\nthe  an", "it is", "é✓𝔘", "", None, "it is", "x" * 300]
+    df = frame(spark, [*enumerate(texts), (None, "it is")])
     encoded = pieces.encode_texts(df, path, 4)
-    for r in encoded.collect():
-        text = texts[r["doc_id"]] or ""
-        want = sorted(every_segmentation(model, "▁" + text.replace(" ", "▁")), reverse=True)[:4] if text else []
-        assert r["n_best_scores"] == pytest.approx(want) and r["round_trip"]
-    assert {r["doc_id"]: r["text"] for r in pieces.decode_ids(encoded, path).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    rows = encoded.collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        text = "it is" if r["doc_id"] is None else texts[r["doc_id"]] or ""
+        if len(text) < 20:
+            every = sorted(every_segmentation(model, "▁" + text.replace(" ", "▁")), key=lambda x: -x[0]) if text else []
+            assert r["n_best_scores"] == pytest.approx([x for x, _ in every[:4]]) and r["round_trip"]
+            score = {ids: x for x, ids in every}
+            found = [tuple(ids) for ids in r["n_best"]]
+            assert len(set(found)) == len(found) and [score[x] for x in found] == pytest.approx(r["n_best_scores"])
+            assert not text or score[tuple(r["ids"])] == pytest.approx(every[0][0])
+    assert {r["doc_id"]: r["text"] for r in pieces.decode_ids(encoded.where("doc_id IS NOT NULL"), path).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert pieces.encode_texts(df.limit(0), path).count() == 0
     docs, rows = documents(spark)
     back = {r["doc_id"]: r["text"] for r in pieces.decode_ids(pieces.encode_texts(docs, path), path).collect()}
     assert back == dict(rows)
 
 
+def test_long_chunks_are_solved_alike():
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    draw = random.Random(4)
+    for n in (70, 150):
+        text = "".join(draw.choice("abcdeé✓") for _ in range(n))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        best, gap, ids = model._solve_long(points)
+        plain = model._solve(points[None])
+        assert (best, gap) == pytest.approx((plain[0][0], plain[1][0])) and sum(model.score[i] if i < pieces.AS_BYTES else model.byte_score for i in ids) == pytest.approx(best)
+        found = model.search(text, 3)
+        assert found[0][0] == pytest.approx(best) and found[1][0] == pytest.approx(best - gap) and len({tuple(x) for _, x in found}) == 3
+    for text in ("z" * 200_000, "then" * 25_000):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, _, rows, _, starts, ends, padded = model.encode(raw, np.array([0, len(raw)]))
+        assert model.decode(ids).tobytes()[1:] == text.encode() and len(model.n_best(rows, starts, ends, padded, ids, 3)) == 3
+
+
 # models
 
 
@@ -217,11 +273,58 @@ def test_toxicity(spark):
     model = toxicity.train(docs, labels)
     scored = toxicity.score(docs.join(labels, "doc_id").where(toxicity.held_out("doc_id")).select("doc_id", "text", "toxic"), model).collect()
     hit = [r["toxic"] for r in scored if r["score"] >= toxicity.THRESHOLD]
-    assert sum(hit) / len(hit) > 0.9 and sum(hit) / sum(r["toxic"] for r in scored) > 0.75
-    odd = toxicity.score(frame(spark, ODD), model, score_col="toxic").collect()
-    assert len(odd) == len(ODD) and all(0 <= r["toxic"] <= 1 for r in odd)
-    none = toxicity.train(docs.limit(0), labels)
-    assert none.scores(pa.array(["x", None])).tolist() == [0.5, 0.5]
+    assert sum(hit) / len(hit) > 0.95 and sum(hit) / sum(r["toxic"] for r in scored) > 0.8
+    odd = toxicity.score(frame(spark, ODD), model, score_col="SCORE")
+    assert odd.columns == [*(c for c in frame(spark, ODD).columns if c != "score"), "SCORE"]
+    assert len(odd.collect()) == len(ODD) and all(0 <= r["SCORE"] <= 1 for r in odd.collect())
+
+
+def test_toxicity_without_evidence(spark):
+    docs = frame(spark, [(i, "some words") for i in range(1, 40)])
+    for toxic in (0, 1):
+        model = toxicity.train(docs, spark.createDataFrame([(i, toxic) for i in range(1, 40)], "doc_id long, toxic int"))
+        n = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1, 40))
+        assert not model.evidence and model.scores(pa.array(["x", None, ""])) == pytest.approx([(n * toxic + 1) / (n + 2)] * 3)
+    none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert not none.evidence and none.scores(pa.array(["x", None])).tolist() == [0.5, 0.5]
+
+
+def plain_grams(text):
+    fold = "".join((c.lower() if c.isalnum() else " ") if ord(c) < 128 else c for c in f" {text or ''} ")
+    return {fold[i : i + n] for n in toxicity.ORDERS for i in range(len(fold) - n + 1)}
+
+
+def plain_bucket(gram):
+    h = 0
+    for k, c in enumerate(gram):
+        h = (h + ord(c) * int(toxicity._STEP[len(gram), k])) & 0xFFFFFFFF
+    h ^= h >> 15
+    return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - toxicity.HASH_BITS)
+
+
+def test_scores_are_sums_over_sets_of_grams():
+    texts = ["A bad, BAD day!", None, "", "é É x" * 30, "words and words and words " * 200]
+    weights = np.random.default_rng(3).standard_normal(1 << toxicity.HASH_BITS).astype(np.float32) * 0.05
+    sums = [sum(float(weights[b]) for b in {plain_bucket(g) for g in plain_grams(t)}) for t in texts]
+    got = toxicity.ToxicityModel(weights, -0.5).scores(pa.array(texts))
+    assert got == pytest.approx([1 / (1 + math.exp(0.5 - s)) for s in sums], rel=1e-4)
+
+
+def test_the_fit_is_the_least_loss():
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 30, rng.integers(1, 8))).astype(np.uint32), int(rng.random() < 0.4)) for _ in range(60)]
+    scale = np.zeros(1 << toxicity.HASH_BITS)
+    scale[:30] = rng.standard_normal(30)
+    model = toxicity.fit(rows, scale, passes=400, tolerance=1e-9)
+    x = np.zeros((60, 31))
+    for i, (found, _) in enumerate(rows):
+        x[i, found] = scale[found]
+    x[:, 30] = math.sqrt(toxicity.BIAS_SQUARE)
+    y, w = np.array([1.0 if t else -1.0 for _, t in rows]), np.zeros(31)
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-y * (x @ w)))
+        w -= np.linalg.solve(toxicity.PENALTY * np.eye(31) + (x.T * (p * (1 - p))) @ x, toxicity.PENALTY * w - x.T @ (y * (1 - p)))
+    assert model.bias == pytest.approx(w[30] * x[0, 30], abs=1e-3) and model.weights[:30] == pytest.approx(w[:30] * scale[:30], abs=1e-3)
 
 
 def test_lm_base_scores(spark):
@@ -242,72 +345,116 @@ def test_lm_base_scores(spark):
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
     r = lm.lm_query(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert r[0] > r[1]
+    assert r[0] > 0.94 * r[1]
 
 
-def test_lm_weights_learn_from_all_training_windows(spark):
+def small_model(spark, n=200):
     _, rows = documents(spark)
-    packed = frame(spark, rows[:200]).coalesce(1).mapInArrow(lm._pack(WORDS, 4), lm.PACKED).where("kind = 2").select("grp", "a", "b", "held").cache()
-    weights, vocabulary = lm.train_model(packed, end := wordtokens.word_tokenizer(WORDS).vocab_size)
-    start = lm_model.start_weights(vocabulary, np.zeros((vocabulary.size, lm_model.CLASSES)))["v"]
-    learnt = set(np.flatnonzero((weights["v"] != start).any(axis=1)).tolist())
-    seen = {vocabulary.begin}
-    for _, ids, firsts, training in lm._texts(packed.toArrow().combine_chunks().to_batches()[0], end):
+    packed = frame(spark, rows[:n]).coalesce(1).mapInArrow(lm._pack(WORDS, 4), lm.PACKED).toPandas()
+    end = wordtokens.word_tokenizer(WORDS).vocab_size
+    counts = np.zeros(end + 1, np.int64)
+    for _, r in packed[packed.kind == 5].iterrows():
+        counts[np.frombuffer(r.a, "<u4")] += np.frombuffer(r.b, "<u4")
+    tokens = packed[packed.kind == 2][["grp", "a", "b", "held"]]
+    return tokens, counts, end
+
+
+def test_lm_learns_from_all_training_windows(spark):
+    tokens, counts, end = small_model(spark)
+    df = spark.createDataFrame(tokens, "grp long, a binary, b binary, held binary")
+    weights, vocabulary = lm.train_model(df, counts)
+    start = lm_model.start_weights(vocabulary)
+    learnt = set(np.flatnonzero((weights["e0"] != start["e0"]).any(axis=1)).tolist())
+    begin = int(vocabulary.inputs[-1])
+    seen, total = {begin}, np.zeros_like(counts)
+    for _, ids, firsts, training in lm._texts(pa.RecordBatch.from_pandas(tokens, preserve_index=False), end):
         for t in np.flatnonzero(training):
-            seen |= set(vocabulary.inputs[ids[firsts[t] : firsts[t + 1] - 1]].tolist())
-    packed.unpersist()
-    assert len(seen) > 100 and learnt == seen
+            own = ids[firsts[t] : firsts[t + 1]]
+            seen |= set(vocabulary.inputs[own[:-1]].tolist())
+            np.add.at(total, own, 1)
+    assert len(seen) > 100 and learnt == seen and (total == counts).all()
+    # plain Python, an id at a time
+    text = np.array([*(int(i) for i in np.argsort(-counts[:-1])[:7]), 123, 45_000] * 9 + [end], np.int32)
+    both, firsts = np.concatenate((text, text[-3:])), np.array([0, len(text), len(text) + 3])
+    got = lm_model.text_log_probabilities(weights, vocabulary, both, firsts)
+    assert got == pytest.approx([plain_log_probability(weights, vocabulary, text), plain_log_probability(weights, vocabulary, text[-3:])], rel=1e-4)
+
+
+def plain_log_probability(w, v, ids):
+    half, head = lm_model.HALF, lm_model.HEAD
+    begin = int(v.inputs[-1])
+    inputs = [begin, *(int(v.inputs[i]) for i in ids[:-1])]
+    z = [sum(w[f"e{k}"][inputs[t - k] if t >= k else begin].astype(float) for k in range(lm_model.RECENT)) for t in range(len(ids))]
+    parts = [x @ w["look"].astype(float) for x in z]
+    total = 0.0
+    for t, i in enumerate(ids):
+        first = max(0, t // half - 1) * half  # the block before and the own one
+        logits = [float(parts[t][:head] @ parts[j][head : 2 * head]) + float(w["distance"][t - j]) for j in range(first, t + 1)]
+        share = [math.exp(min(x, 30)) for x in logits]
+        seen = sum(s * parts[j][2 * head :] for s, j in zip(share, range(first, t + 1), strict=True)) / sum(share)
+        hidden = z[t] + seen @ w["back"].astype(float)
+        leaf = int(v.leaf[i])
+        over = [math.exp(float(hidden @ w["part"][p]) + float(w["part_bias"][p])) for p in range(len(w["part_bias"]))]
+        total += math.log(over[v.part[leaf]] / sum(over))
+        for path, side in zip(v.path, v.side, strict=True):
+            if path[leaf] >= 0:
+                x = float(hidden @ w["node"][path[leaf]]) + float(w["node_bias"][path[leaf]])
+                total -= math.log1p(math.exp(-x if side[leaf] else x))
+    return total
+
+
+def random_vocabulary(rng, n=3000):
+    return lm_model.make_vocabulary((rng.pareto(1, n) * 20).astype(np.int64), rng.integers(0, 9, (n, 8)))
+
+
+def test_the_vocabulary_is_a_distribution():
+    rng = np.random.default_rng(0)
+    v = random_vocabulary(rng)
+    w = {k: x.astype(np.float64) for k, x in lm_model.start_weights(v).items()}
+    leaves = np.arange(3000)
+    hidden = np.repeat(rng.standard_normal((1, lm_model.WIDTH)) * 3, 3000, axis=0)
+    score, _, _ = lm_model._output(w, v, hidden, leaves, False)
+    assert np.exp(score).sum() == pytest.approx(1) and sorted(v.leaf) == leaves.tolist()
 
 
-def test_model_gradients_and_probabilities():
+def test_model_gradients():
     rng = np.random.default_rng(0)
-    counts, contexts = rng.integers(1, 50, 2000), rng.integers(0, 9, (2000, 8))
-    vocabulary = lm_model.make_vocabulary(counts, contexts)
-    w = lm_model.start_weights(vocabulary, rng.integers(0, 5, (vocabulary.size, lm_model.CLASSES)).astype(float))
-    w = {k: v.astype(np.float64) for k, v in w.items()}
-    x = rng.integers(0, vocabulary.size, (3, lm_model.WINDOW))
-    target = rng.integers(0, lm_model.CLASSES, x.shape)
-    valid = rng.random(x.shape) > 0.3
-    _, grad = lm_model.gradients(w, x, target, valid)
-    for name in "qkvmrb":
-        g = grad[name].reshape(-1)
-        at = int(np.argmax(np.abs(g)))
-        step, flat = 1e-5, w[name].reshape(-1)
-        flat[at] += step
-        up = lm_model.gradients(w, x, target, valid)[0]
-        flat[at] -= 2 * step
-        down = lm_model.gradients(w, x, target, valid)[0]
-        flat[at] += step
-        assert (up - down) / (2 * step) == pytest.approx(g[at], rel=2e-2, abs=1e-7), name
-    each = np.stack([lm_model.class_log_probabilities(w, x, np.full_like(target, c)) for c in range(lm_model.CLASSES)])
-    assert np.exp(each).sum(axis=0) == pytest.approx(1)
-    assert np.bincount(vocabulary.classes, weights=np.exp(vocabulary.log_share), minlength=lm_model.CLASSES)[np.unique(vocabulary.classes)] == pytest.approx(1, rel=1e-4)
+    v = random_vocabulary(rng)
+    w = {k: x.astype(np.float64) for k, x in lm_model.start_weights(v).items()}
+    w["distance"] += rng.standard_normal(lm_model.WINDOW) * 0.3
+    ids = np.minimum(rng.pareto(0.5, 150).astype(np.int64), 2998)
+    batch = list(lm_model.batches(v, ids, np.array([0, 70, 150]), step=2))[1]  # begins inside the first text
+    assert not batch.counts[: lm_model.HALF].any()
+    _, grads = lm_model.gradients(w, v, batch)
+    for name, (rows, g) in grads.items():
+        at = np.unravel_index(int(np.argmax(np.abs(g))), g.shape)
+        cell = at if rows is None else (int(rows[at[0]]), *at[1:])
+        step = 1e-5
+        w[name][cell] += step
+        up = lm_model.gradients(w, v, batch)[0]
+        w[name][cell] -= 2 * step
+        down = lm_model.gradients(w, v, batch)[0]
+        w[name][cell] += step
+        assert (up - down) / (2 * step) == pytest.approx(g[at], rel=1e-3, abs=1e-7), name
 
 
 def test_windows_score_every_position_once():
-    lengths = np.array([1, 5, 32, 33, 60, 61, 200])
+    lengths = np.array([1, 5, 32, 33, 64, 65, 200, 9000])
     firsts = np.concatenate(([0], np.cumsum(lengths)))
-    text, start = lm_model.windows(lengths)
-    seen = np.zeros(firsts[-1], int)
-    for t, s in zip(text, start, strict=True):
-        for k in range(lm_model.WINDOW):
-            if s + k < lengths[t] and (s == 0 or k >= lm_model.OVERLAP):
-                seen[firsts[t] + s + k] += 1
-    assert (seen == 1).all()
-
-
-def test_scored_ids_have_half_a_window_of_context():
-    rng = np.random.default_rng(1)
-    counts, contexts = rng.integers(1, 50, 2000), rng.integers(0, 9, (2000, 8))
-    vocabulary = lm_model.make_vocabulary(counts, contexts)
-    w = lm_model.start_weights(vocabulary, rng.integers(0, 5, (vocabulary.size, lm_model.CLASSES)).astype(float))
-    w["m"] *= 200
-    ids = rng.integers(0, 1999, 150)
-    inputs = np.concatenate(([vocabulary.begin], vocabulary.inputs[ids[:-1]]))
-    want, half = vocabulary.log_share[ids].sum(dtype=np.float64), lm_model.WINDOW // 2
-    for i in range(len(ids)):
-        start = max(0, i // half - 1) * half
-        x = np.full((1, lm_model.WINDOW), vocabulary.begin)
-        x[0, : i + 1 - start] = inputs[start : i + 1]
-        want += lm_model.class_log_probabilities(w, x, np.full(x.shape, vocabulary.classes[ids[i]]))[0, i - start]
-    assert lm_model.text_log_probabilities(w, vocabulary, ids, np.array([0, len(ids)])) == pytest.approx([want], abs=1e-2)
+    v = random_vocabulary(np.random.default_rng(2))
+    ids = np.random.default_rng(3).integers(0, 3000, firsts[-1])
+    seen = []
+    for batch in lm_model.batches(v, ids, firsts, step=5):
+        seen += list(zip(batch.text[batch.counts].tolist(), batch.target[batch.counts].tolist(), strict=True))
+    assert Counter(seen) == Counter((t, int(v.leaf[i])) for t in range(len(lengths)) for i in ids[firsts[t] : firsts[t + 1]])
+
+
+def test_common_weights_are_means_by_use():
+    def row(name, rows, moved, used):
+        return (0, name, np.array(rows).tobytes(), np.array(moved, np.float32).tobytes(), np.ones(len(rows), np.float32).tobytes(), np.array(used).tobytes())
+
+    rows = [row("e0", [0, 16], [1.0, 5.0], [1, 2]), row("e0", [0, 32], [4.0, 7.0], [3, 1])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.string(), *[pa.binary()] * 4))], names=list("abcdef"))
+    out = next(lm._merge(iter([batch])))
+    assert np.frombuffer(out.column(2)[0].as_py(), np.int64).tolist() == [0, 16, 32]
+    assert np.frombuffer(out.column(3)[0].as_py(), np.float32).tolist() == pytest.approx([3.25, 5.0, 7.0])

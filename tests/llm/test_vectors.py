@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
@@ -12,25 +14,65 @@ def table():
     return t.vec_id.to_numpy(), np.array(t.embedding.tolist(), dtype=np.float64), t.label.to_numpy()
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_near_vectors(spark, block):
-    ids, x, label = table()
+def linked(ids, x, label):
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     hit = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
     np.fill_diagonal(hit, False)
     component, a, b = ids.copy(), *np.nonzero(hit)
     for _ in ids:
         np.minimum.at(component, a, component[b])
-    got = near_vectors.near_vectors(spark.read.parquet(f"{FOLDER}/embeddings.parquet"), block=block).collect()
-    want = {int(i): (int(n), int(c), bool(c == i)) for i, n, c in zip(ids, hit.sum(axis=1), component, strict=True)}
-    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == want
+    return hit, {int(i): (int(n), int(c), bool(c == i)) for i, n, c in zip(ids, hit.sum(axis=1), component, strict=True)}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_vectors(spark, block):
+    ids, x, label = table()
+    # beside them, pairs at cosines around the threshold, a chain, and a cluster with exact copies
+    rng = np.random.default_rng(1)
+    more, wanted = [], np.concatenate((rng.uniform(0.90, 0.93, 60), rng.uniform(0.93, 0.99, 240)))
+    for c in wanted:
+        a, b = rng.standard_normal((2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        more += [a, 3 * (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b))]
+    steps = [rng.standard_normal(64)]
+    for _ in range(20):
+        steps.append(steps[-1] + 0.03 * rng.standard_normal(64))
+    cluster = rng.standard_normal(64) + 0.02 * rng.standard_normal((30, 64))
+    more += [*steps, *cluster, *cluster[:9]]
+    x = np.concatenate((x, np.array(more).astype(np.float32).astype(np.float64)))
+    ids = np.arange(len(x)) * 7 % 100_003
+    label = np.concatenate((label, np.full(len(more), 3)))
+    hit, want = linked(ids, x, label)
+    df = spark.createDataFrame([(int(i), v.tolist(), int(c)) for i, v, c in zip(ids, x, label, strict=True)], "vec_id long, embedding array<float>, label int")
+    rows = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(df, block=block).collect()}
+    assert hit.sum() // 2 > 700 and {r: w for r, w in want.items() if not w[0]} == {r: rows[r] for r, w in want.items() if not w[0]}
+    assert sum(n for n, _, _ in rows.values()) >= 0.995 * hit.sum() and sum(rows[r] == w for r, w in want.items()) >= 0.995 * len(want)
+
+
+def test_tables_keep_their_promise():
+    rng = np.random.default_rng(2)
+    last = 1.0
+    for n in (100, 10_000, 1_000_000):
+        tables, per_table = near_vectors.plan_tables(n)
+        share = tables * near_vectors.meeting(np.sqrt(2), near_vectors.WIDTH) ** per_table  # of unrelated pairs that meet
+        assert share < last
+        last = share
+        met = near_vectors.meeting(np.sqrt(2 - 2 * near_vectors.COSINE), near_vectors.WIDTH) ** per_table
+        assert (1 - met) ** tables <= near_vectors.MISSED
+    a, b = rng.standard_normal((2, 64))
+    a /= np.linalg.norm(a)
+    b -= (a @ b) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+    hasher = near_vectors.Projections(64, 4000, 1, near_vectors.WIDTH, 5)
+    assert (hasher.codes(np.array([a, b]))[0] == hasher.codes(np.array([a, b]))[1]).mean() == pytest.approx(near_vectors.meeting(np.linalg.norm(a - b), near_vectors.WIDTH), abs=0.02)
 
 
 ROWS = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 0.01], None), (8, [1.0, 0.02], 2), (9, [1.0, 0.0], 1), (9, [1.0, 0.0], 1), (100, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.0], 1), (200, [1.0, 0.0], 1), (0, [], 1)]
 
 
 def test_odd_vectors(spark):
-    df = spark.createDataFrame(ROWS, "vec_id long, embedding array<double>, label int")
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in ROWS], "vec_id long, embedding array<double>, label int, vector string, query int, cid int")
     got = near_vectors.near_vectors(df).collect()
     assert len(got) == len(ROWS)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["n_links"]) == [(1, 4, 1), (2, 4, 1), (9, 4, 1), (9, 4, 1), (200, 4, 1)]
@@ -40,17 +82,43 @@ def test_odd_vectors(spark):
     assert near_vectors.near_vectors(empty).count() == 0 and ann.nearest_neighbours(empty, empty).count() == 0
 
 
-def test_recall(spark):
-    ids, x, _ = table()
+def test_ids_that_come_with_several_vectors(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (4, [0.0, -1.0], 1)], schema)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+    asked = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [2.0, 0.0], 1)], schema)
+    (first,) = [r for r in ann.nearest_neighbours(df, asked, k=1).collect()]
+    assert np.array([2.0, 0.0]).tobytes() < np.array([1.0, 0.0]).tobytes()  # so this one is searched
+    assert (first["query_id"], first["vec_id"], first["score"]) == (0, 1, 1.0)
+
+
+def recall(ids, x, rows):
+    """Recall at 10, and the distances taken as a share of a full scan's."""
     got: dict = {}
-    for r in ann.nearest_query(spark, FOLDER).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    found = total = 0
-    for q in ids[ids % 100 == 0]:
+    for r in rows:
+        got.setdefault(r["query_id"], []).append(r)
+    found = 0
+    for q, own in got.items():
         far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
         want = [int(ids[i]) for i in np.lexsort((ids, far)) if ids[i] != q][:10]
-        own = sorted(got[q])
-        assert [r for r, _, _ in own] == list(range(1, 11))
-        assert all(s == pytest.approx(far[ids == v][0], abs=1e-12) for _, v, s in own)
-        found, total = found + len({v for _, v, _ in own} & set(want)), total + 10
-    assert found / total >= 0.9
+        own = sorted(own, key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 11)) and [r["score"] for r in own] == sorted(r["score"] for r in own)
+        assert all(r["score"] == pytest.approx(far[ids == r["vec_id"]][0], abs=1e-12) for r in own)
+        found += len({r["vec_id"] for r in own} & set(want))
+    return found / len(got) / 10, np.mean([own[0]["compared"] for own in got.values()]) / len(x)
+
+
+def test_recall(spark):
+    ids, x, _ = table()
+    share, compared = recall(ids, x, ann.nearest_query(spark, FOLDER).collect())
+    assert share >= 0.9 and compared < 1.5
+
+
+def test_few_vectors_are_compared_where_they_cluster(spark):
+    rng = np.random.default_rng(3)
+    x = (np.repeat(rng.standard_normal((100, 64)), 30, axis=0) + 0.1 * rng.standard_normal((3000, 64))).astype(np.float32).astype(np.float64)
+    ids = np.array(random.Random(1).sample(range(3000), 3000))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    share, compared = recall(ids, x, ann.nearest_neighbours(df, df.where("vec_id % 100 = 0")).collect())
+    assert share >= 0.95 and compared < 0.2
