@@ -1,8 +1,9 @@
 """Corpus cleaning pipeline: each stage works on what the one before it kept.
 
-Stages take and return ``documents`` rows with all their columns; the last returns
-packed sequences. Rows with a null ``doc_id`` or text pass every stage; rows that repeat
-a ``doc_id`` share its fate. Empty tables give empty results.
+Stages take and return ``documents`` rows with all their columns, whatever further columns are called; the last returns
+packed sequences. Nothing is removed without evidence: without labelled rows of both classes no
+document is toxic, and null and blank texts pass every stage. Rows with a null ``doc_id`` are never copies and
+keep their texts whole. Rows that repeat a ``doc_id`` are judged by their own texts. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,21 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, packing, suffix_dedup, toxicity
-from tessera.storage import materialize
+from tessera.llm.words import fresh
+from tessera.storage import hand_on, materialize, scratch_files
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    if not model.evidence:
+        return docs
+    score = fresh(docs, "_toxicity")
+    scored = toxicity.score(docs, model, score_col=score)
+    blank = F.coalesce(~F.col("text").rlike(r"\S"), F.lit(True))
+    return scored.where(blank | (F.col(score) < toxicity.THRESHOLD)).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates."""
-    found = ngram_join.near_duplicates(docs)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = ngram_join.near_duplicates(keyed, keep=(key,))
+    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id", key).distinct()
+    return keyed.join(copies, ["doc_id", key], "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +57,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``, writing each stage's rows and reading them again."""
+    """Apply all stages to ``documents``, writing each stage's rows and reading them again.
+
+    What a stage wrote for itself is deleted when its rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_files(spark):
+            docs = hand_on(materialize(stage(spark, docs, sf_dir), f"stage{k}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: A trained classifier and a tokenizer have no SQL form; the tests hold the stages against brute force.
