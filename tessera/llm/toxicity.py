@@ -210,20 +210,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     clean, toxic = total.reshape(2, size).astype(np.float64)
     shared = docs.sparkSession.sparkContext.broadcast(feature_scales(toxic, clean).astype(np.float32))  # 4 MB, whatever the corpus
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, points, ends in _chunks(batch.column(0)):
-                packed = [found.tobytes() for found in _features(points, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).slice(first, len(ends))], names=["buckets", "y"])
-
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(x.as_buffer(), "<u4"), y) for batch in batches for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
+        held = []
+        for batch in batches:
+            y = batch.column(1).to_pylist()
+            held += [(found, y[first + i]) for first, points, ends in _chunks(batch.column(0)) for i, found in enumerate(_features(points, ends))]
         model = fit(held, shared.value)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.evidence])], names=["weights", "bias", "evidence"])
 
-    # repeated ids are cut to the bound too; the order makes the fit repeatable
-    found = rows.mapInArrow(tidy(extract), "buckets binary, y int").withColumn("h", F.xxhash64("buckets"))
-    chosen = found.orderBy("h", "y").limit(sample_rows).repartition(1).sortWithinPartitions("h", "y").select("buckets", "y")
+    # repeated ids are cut to the bound too; the order makes the fit repeatable; the texts of the bounded sample move, not their features
+    chosen = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "t", "y").limit(sample_rows).select("t", "y").repartition(1)
     r = chosen.mapInArrow(tidy(solve), "weights binary, bias double, evidence boolean").first()
     shared.destroy()
     discard(rows)
