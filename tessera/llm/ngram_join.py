@@ -315,14 +315,13 @@ def _members(sets: DataFrame, groups: DataFrame, block: int) -> DataFrame:
 
     Sets with one rarest shingle are of one block, unless they are more than half a block.
     """
-    rarest = F.xxhash64(F.substring("grams", 1, 8))
-    rows = sets.join(groups, "class").withColumn("rarest", rarest)
+    rows = sets.select("class", F.xxhash64(F.substring("grams", 1, 8)).alias("rarest")).join(groups, "class")  # the sets themselves move once
     cut = rows.groupBy("k").count().select("k", F.ceil(F.col("count") / block).cast("long").alias("blocks"))
     often = rows.groupBy("k", "rarest").count().where(F.col("count") > block / 2).withColumnRenamed("count", "alike")
     placed = rows.join(cut, "k").join(often, ["k", "rarest"], "left")
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("alike") / block))
     number = F.when(F.col("blocks") == 1, 0).when(F.col("alike").isNull(), F.pmod("rarest", F.col("blocks"))).otherwise(F.xxhash64("rarest", salt))
-    return placed.withColumn("block", number).drop("rarest", "alike")
+    return sets.join(placed.select("class", "k", "blocks", number.alias("block")), "class")
 
 
 def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int = BUCKET_BITS[0], text_col: str = "text", hot: np.ndarray | None = None) -> DataFrame:
