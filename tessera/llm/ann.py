@@ -137,7 +137,7 @@ def nearest_neighbours(
 
     ``compared`` is the number of distances taken for the query's vector.
     """
-    kind = stored_type(vectors, vector_col)
+    spark, kind = vectors.sparkSession, stored_type(vectors, vector_col)
 
     def clean(df: DataFrame) -> DataFrame:
         named = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -195,7 +195,7 @@ def nearest_neighbours(
     wanted = materialize(wanted, "ann-queries")
     asked = materialize(wanted.select("vector").distinct().withColumn("query", F.monotonically_increasing_id()), "ann-query-vectors")
     entries = materialize(stored.select("vector", "ids").mapInArrow(tidy(index), "t int, code long, ids array<long>, vector binary"), "ann-entries")
-    visits = asked.select("vector", "query").mapInArrow(tidy(visit), "t int, code long, query long")
+    visits = asked.select("vector", "query").repartition(spark.sparkContext.defaultParallelism).mapInArrow(tidy(visit), "t int, code long, query long")
     sizes = entries.groupBy("t", "code").count().select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = sizes.where("blocks > 1")
     held = entries.join(large, ["t", "code"], "left").select("t", "code", F.pmod(F.xxhash64("vector"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), no_query.alias("query"), "ids", "vector")
