@@ -18,8 +18,16 @@ def golden_ids(std_golden: DataFrame) -> DataFrame:
     return heads.select("id").where("id IS NOT NULL").distinct()
 
 
-def cluster_map(edges: DataFrame, entity: Entity, master: DataFrame, golden: DataFrame | None = None) -> DataFrame:
-    """One row per record that is in the master or in an edge.
+def _stars(edges: DataFrame) -> DataFrame:
+    """``node, component`` of edges that all lead to the smallest id of their component."""
+    own = edges.where("source_record_id <> matched_record_id")
+    return own.select(F.col("source_record_id").alias("node"), F.col("matched_record_id").alias("component")).unionByName(
+        own.select(F.col("matched_record_id").alias("node"), F.col("matched_record_id").alias("component"))
+    ).distinct()
+
+
+def cluster_map(edges: DataFrame, entity: Entity, master: DataFrame, golden: DataFrame | None = None, stars: bool = False) -> DataFrame:
+    """One row per record that is in the master or in an edge; ``stars`` says that all edges lead to the smallest id of their cluster.
 
     The canonical member is the smallest golden id of the cluster, else its smallest
     id. Repeated ids of the master have one row.
@@ -27,7 +35,7 @@ def cluster_map(edges: DataFrame, entity: Entity, master: DataFrame, golden: Dat
     own = edges.where(F.col("entity_type") == entity.kind)
     ends = own.select(F.explode(F.array("source_record_id", "matched_record_id")).alias("record_id"), "match_type")
     types = ends.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set("match_type")), ",").alias("match_type_used"))  # three types at most
-    labels = connected_components(own, "source_record_id", "matched_record_id")
+    labels = _stars(own) if stars else connected_components(own, "source_record_id", "matched_record_id")
     ids = master.select(F.col(entity.id_col).cast("string").alias("record_id")).union(types.select("record_id")).where("record_id IS NOT NULL").distinct()
     members = ids.join(labels, F.col("record_id") == F.col("node"), "left").select("record_id", F.coalesce("component", "record_id").alias("root"))
     if golden is not None:

@@ -89,8 +89,9 @@ def golden_records(entity: Entity, master: DataFrame, clusters: DataFrame, quali
     pool = record_pool(master, quality, entity.id_col)
     members = cluster_members(master, clusters, entity.id_col)
     chosen = survivors(members, pool, entity.id_col, golden_lookup(std_golden) if std_golden is not None else None)
-    groups = members.groupBy("canonical_id", "leftover").agg(F.array_join(F.array_sort(F.collect_set("record_id")), ",").alias("source_ids"), F.count_distinct("record_id").alias("merged"))
-    groups = numbered(groups, ["leftover", "canonical_id"], "number").join(chosen, "canonical_id")
+    groups = members.groupBy("canonical_id").agg(F.array_join(F.array_sort(F.collect_set("record_id")), ",").alias("source_ids"), F.count_distinct("record_id").alias("merged"))
+    numbers = numbered(members.select("leftover", "canonical_id").distinct(), ["leftover", "canonical_id"], "number").select("canonical_id", "number")
+    groups = groups.join(numbers, "canonical_id").join(chosen, "canonical_id")
     business = [c for c in entity.business if c in pool.columns]
     values = pool.select(F.col(entity.id_col).alias("_id"), "record_quality_score", "quality_grade", *business).dropDuplicates(["_id"])
     packed = values.select("_id", F.struct(*[c for c in values.columns if c != "_id"]).alias("_row"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.config import Settings
+from tessera.config import ENTITIES, Settings
 from tessera.functions import text
 from tessera.functions.scoring import confidence
 from tessera.operators.ordering import neighbour_pairs
@@ -95,21 +95,31 @@ def best_matches(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source_record_id", "matched_record_id").agg(best).select("source_record_id", "matched_record_id", "best.*")
 
 
-def match_table(std: dict[str, DataFrame], settings: Settings) -> DataFrame:
-    """All matches of all entities, one a pair."""
-    keyed = with_keys(std)
-    exact = {
-        "accounts": star_matches(keyed["accounts"], "account_id", "match_key_name", "ACCOUNT", "EXACT"),
-        "contacts": star_matches(keyed["contacts"], "contact_id", "match_key_email", "CONTACT", "EXACT"),
-        "leads": star_matches(keyed["leads"], "lead_id", "match_key_name", "LEAD", "EXACT"),
-    }
-    parts = [*exact.values(), golden_matches(std["golden_map"])]
-    if settings.fuzzy:
-        for name, kind in (("accounts", "ACCOUNT"), ("contacts", "CONTACT")):
-            parts.append(fuzzy_matches(keyed[name], f"{name[:-1]}_id", "match_key_name", kind, matched_ids(exact[name]), settings))
+#: For each entity the key of exact matches, and whether names are matched fuzzily too.
+KEYS = {"accounts": ("match_key_name", True), "contacts": ("match_key_email", True), "leads": ("match_key_name", False)}
+
+
+def entity_matches(name: str, std: dict[str, DataFrame], settings: Settings) -> DataFrame:
+    """All matches of one entity, one a pair."""
+    keyed, entity = with_keys(std)[name], ENTITIES[name]
+    key, fuzzy = KEYS[name]
+    exact = star_matches(keyed, entity.id_col, key, entity.kind, "EXACT")
+    parts = [exact, golden_matches(std["golden_map"])] if name == "accounts" else [exact]
+    if settings.fuzzy and fuzzy:
+        parts.append(fuzzy_matches(keyed, entity.id_col, "match_key_name", entity.kind, matched_ids(exact), settings))
     return best_matches(reduce(DataFrame.unionByName, parts))
 
 
+def match_table(std: dict[str, DataFrame], settings: Settings) -> DataFrame:
+    """All matches of all entities."""
+    return reduce(DataFrame.unionByName, [entity_matches(name, std, settings) for name in KEYS])
+
+
+def is_star(name: str, settings: Settings) -> bool:
+    """Whether an entity's matches all lead from a record to the smallest id of its one key."""
+    return name != "accounts" and not (settings.fuzzy and KEYS[name][1])
+
+
 def match_summary(edges: DataFrame) -> DataFrame:
     """Counts by entity and match type with a grand total, in one pass by grouping sets."""
     level = lambda x: F.sum((F.col("confidence_level") == x).cast("long"))

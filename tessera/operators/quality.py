@@ -59,9 +59,11 @@ def _facts(name: str, df: DataFrame, known: DataFrame | None, stewardship: DataF
         df = df.join(open_ids.withColumn("_open", F.lit(True)), F.col("account_id") == F.col("_a"), "left").drop("_a")
     if name == "contacts":
         df = _repeated(df, ["email"], "_same_email", ~text.blank(F.col("email")))
-        if known is not None and not known.isEmpty():
-            ids = known.select(F.col("account_id").alias("_a")).where("_a IS NOT NULL").distinct()
-            df = df.join(ids.withColumn("_known", F.lit(True)), F.col("account_id") == F.col("_a"), "left").drop("_a")
+        if known is not None:
+            ids = known.select(F.col("account_id").alias("_a"))
+            some = ids.limit(1).agg((F.count("*") > 0).alias("_some"))  # one row: without any account no contact is an orphan
+            df = df.join(ids.where("_a IS NOT NULL").distinct().withColumn("_known", F.lit(True)), F.col("account_id") == F.col("_a"), "left").drop("_a")
+            df = df.join(F.broadcast(some))
     if name == "leads":
         df = _repeated(df, ["lead_name", "source"], "_same_lead", ~text.blank(F.col("lead_name")))
     return df
@@ -89,14 +91,18 @@ def _checks(name: str, df: DataFrame, settings: Settings) -> list[Check]:
     def lacks(field: str, pattern: str) -> Column:
         return c(field).isNotNull() & ~text.matches(c(field), pattern)
 
+    def number(field: str) -> Column:
+        return F.nanvl(c(field), F.lit(None).cast("double")) if df.schema[field].dataType.typeName() == "double" else text.number(c(field))
+
     if name == "accounts":
         add("validity_invalid_industry", "industry", "MEDIUM", ~text.one_of(c("industry"), list(config.INDUSTRIES)))
         add("validity_invalid_country", "country", "MEDIUM", ~text.one_of(c("country"), list(config.COUNTRIES)))
         for f in config.NUMBERS:
             if f in has:
-                add(f"validity_non_numeric_{f}", f, "MEDIUM", c(f).isNotNull() & text.number(c(f)).isNull())
-                add(f"validity_negative_{f}", f, "HIGH", text.number(c(f)) < 0)
-        add("consistency_revenue_without_employees", "employee_count", "LOW", (c("annual_revenue") > 0) & (c("employee_count") == 0), "annual_revenue", "employee_count")
+                add(f"validity_non_numeric_{f}", f, "MEDIUM", c(f).isNotNull() & number(f).isNull())
+                add(f"validity_negative_{f}", f, "HIGH", number(f) < 0)
+        if has.issuperset(config.NUMBERS):
+            add("consistency_revenue_without_employees", "employee_count", "LOW", (number("annual_revenue") > 0) & (number("employee_count") == 0))
         add("uniqueness_open_stewardship_issue", "account_id", "MEDIUM", c("_open"), "_open")
         if has.issuperset(config.NUMBERS):
             add("freshness_stale_account", "", "LOW", _stale(df, settings, text.blank(c("annual_revenue")) & text.blank(c("employee_count"))), "account_id")
@@ -107,7 +113,7 @@ def _checks(name: str, df: DataFrame, settings: Settings) -> list[Check]:
         add("validity_invalid_contact_id_format", "contact_id", "MEDIUM", ~text.matches(c("contact_id"), config.CONTACT_ID))
         if "phone" in has:
             add("validity_invalid_phone", "phone", "LOW", ~text.blank(c("phone")) & ~text.matches(text.strip(c("phone")), config.PHONE))
-        add("consistency_orphan_contact_account_id", "account_id", "HIGH", c("account_id").isNotNull() & c("_known").isNull() if "_known" in has else F.lit(False), "account_id")
+        add("consistency_orphan_contact_account_id", "account_id", "HIGH", c("account_id").isNotNull() & c("_known").isNull() & c("_some") if "_known" in has else F.lit(False), "account_id")
         add("uniqueness_duplicate_email", "email", "HIGH", c("_same_email"), "_same_email")
         add("freshness_stale_contact", "", "LOW", _stale(df, settings, text.blank(c("email")) & text.blank(c("job_title"))), "contact_id")
     else:
@@ -168,19 +174,32 @@ def scores(checked_rows: dict[str, DataFrame], settings: Settings) -> DataFrame:
 
 
 def check_summary(log: DataFrame) -> DataFrame:
-    return log.groupBy("dimension", "entity_type", "dq_check", "severity").agg(F.count("*").alias("issue_count"))
+    """Issues by check, most frequent first."""
+    counts = log.groupBy("dimension", "entity_type", "dq_check", "severity").agg(F.count("*").alias("issue_count"))
+    return counts.orderBy(F.desc("issue_count"), "entity_type", "dq_check")
 
 
 def record_quality(rows: DataFrame, entity: Entity, settings: Settings) -> DataFrame:
-    """Scores, grade, issue counts and eligibility of each record; rows of one id share their issues."""
-    log = issues(rows, entity).groupBy("record_id").agg(
-        F.count("*").alias("issue_count"), F.sum((F.col("severity") == "HIGH").cast("long")).alias("high_severity_issues"),
-        *[F.max((F.col("dimension") == d.capitalize()).cast("int")).alias(f"_{d}") for d in settings.weights],
+    """Scores, grade, issue counts and eligibility of each record; rows of one id share their issues.
+
+    Only rows that a check found to repeat an id are grouped; all others are judged where they are.
+    Rows without an id have no issues of their own.
+    """
+    own_id, repeats = F.col(entity.id_col).cast("string"), f"uniqueness_duplicate_{entity.id_col}"
+    found = F.when(own_id.isNull(), F.expr("filter(_issues, x -> false)")).otherwise(F.col("_issues"))
+    counts = {"issue_count": F.size("_i"), "high_severity_issues": F.size(F.filter("_i", lambda i: i["severity"] == "HIGH"))}
+    fails = lambda d: F.exists("_i", lambda i: i["dimension"] == d.capitalize())
+    flags = {f"_{d}": fails(d).cast("int") for d in settings.weights}
+    own = rows.select(own_id.alias(entity.id_col), found.alias("_i")).select(
+        entity.id_col, F.exists("_i", lambda i: i["dq_check"] == repeats).alias("_repeats"), *[c.cast("long").alias(k) for k, c in counts.items()], *[c.alias(k) for k, c in flags.items()],
     )
-    joined = rows.select(F.col(entity.id_col).cast("string").alias(entity.id_col)).join(log, F.col(entity.id_col) == F.col("record_id"), "left")
+    several = own.where("_repeats")
+    shared = several.groupBy(F.col(entity.id_col).alias("_id")).agg(*[F.sum(k).alias(k) for k in counts], *[F.max(k).alias(k) for k in flags])
+    together = several.select(entity.id_col).join(shared, F.col(entity.id_col) == F.col("_id")).drop("_id")
+    joined = own.where("NOT _repeats").drop("_repeats").unionByName(together)
     score = {f"{d}_score": F.when(F.col(f"_{d}") == 1, 0.0).otherwise(100.0) for d in settings.weights}
     quality = F.round(reduce(lambda a, b: a + b, [F.col(f"{d}_score") * w for d, w in settings.weights.items()]), 2)
-    out = joined.withColumns(score).withColumns({"issue_count": F.coalesce("issue_count", F.lit(0)), "high_severity_issues": F.coalesce("high_severity_issues", F.lit(0))}).withColumn("record_quality_score", quality)
+    out = joined.withColumns(score).withColumn("record_quality_score", quality)
     eligible = (F.col("record_quality_score") >= 80) & (F.col("high_severity_issues") == 0)
     return out.select(
         entity.id_col, F.lit(entity.kind).alias("entity_type"), *score, "record_quality_score", grade(F.col("record_quality_score")).alias("quality_grade"),

@@ -56,14 +56,45 @@ BASE = {
 }
 
 
+#: Rows as they could come from outside, as text: each check finds some of them.
+RAW = {
+    "raw_accounts": ("customer", {
+        "account_id": f"CASE WHEN c_custkey % 37 = 0 THEN 'ACC000001' ELSE {_digits('ACC', 'c_custkey')} END",
+        "account_name": "CASE c_custkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'Company ' || cast(c_custkey as string) END",
+        "industry": "CASE c_custkey % 5 WHEN 0 THEN 'Technology' WHEN 1 THEN NULL WHEN 2 THEN 'Gardening' ELSE 'Retail' END",
+        "country": "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Atlantis' ELSE 'India' END",
+        "annual_revenue": "CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN '-25.5' ELSE cast(c_custkey * 1000 as string) END",
+        "employee_count": "CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 4 THEN NULL WHEN 1 THEN 'many' WHEN 2 THEN '-3' WHEN 3 THEN '0' ELSE cast(c_custkey % 900 + 1 as string) END",
+    }),
+    "raw_contacts": ("orders", {
+        "contact_id": f"CASE WHEN o_orderkey % 29 = 0 THEN 'CON000001' WHEN o_orderkey % 31 = 0 THEN 'X' || cast(o_orderkey as string) ELSE {_digits('CON', 'o_orderkey')} END",
+        "first_name": "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE 'Ada' END",
+        "last_name": "CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE 'Byron' END",
+        "email": "CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'bad@' WHEN 2 THEN 'same@example.com' ELSE 'user' || cast(o_orderkey as string) || '@example.com' END",
+        "job_title": "CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 8 = 0 THEN NULL ELSE 'VP' END",
+        "account_id": f"CASE o_orderkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 'acc1' WHEN 2 THEN 'ACC999999' ELSE {_digits('ACC', 'o_custkey')} END",
+        "phone": "CASE o_orderkey % 14 WHEN 0 THEN 'call me' WHEN 1 THEN '12' WHEN 2 THEN NULL ELSE '5550100200' END",
+    }),
+    "raw_leads": ("events", {
+        "lead_id": f"CASE WHEN event_id % 29 = 0 THEN {_digits('LEAD', 'event_id')} WHEN event_id % 41 = 0 THEN 'LED000001' ELSE {_digits('LED', 'event_id')} END",
+        "lead_name": "CASE event_id % 12 WHEN 0 THEN NULL WHEN 1 THEN 'same lead' ELSE 'lead ' || cast(event_id as string) END",
+        "source": "CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'Billboard' ELSE 'Web' END",
+        "status": "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Paused' WHEN 2 THEN 'Converted' ELSE 'New' END",
+        "created_date": "ts",
+    }),
+}
+#: An account for each golden lead, to read leads by their account's industry.
+LEAD_ACCOUNT = "'ACC' || lpad(cast(cast(right(surviving_lead_id, 4) as bigint) % 180 as string), 6, '0')"
+
+
 def base_sql(table: str) -> str:
-    source, columns = BASE[table]
+    source, columns = (BASE | RAW)[table]
     return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {source}"
 
 
 def base_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One base table over the parquet files in ``sf_dir``."""
-    source, columns = BASE[table]
+    source, columns = (BASE | RAW)[table]
     first, _, where = source.partition(" WHERE ")
     left, _, rest = first.partition(" JOIN ")
     df = spark.read.parquet(f"{sf_dir}/{left}.parquet")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from tessera import config
-from tessera.plans.adapter import BASE, base_sql
+from tessera.plans.adapter import BASE, LEAD_ACCOUNT, RAW, base_sql
 from tessera.plans.registry import AS_OF
 
 
@@ -63,7 +63,7 @@ def _grade(c: str) -> str:
     return f"CASE WHEN {c} >= 90 THEN 'A' WHEN {c} >= 80 THEN 'B' WHEN {c} >= 70 THEN 'C' ELSE 'D' END"
 
 
-CTE: dict[str, str] = {t: base_sql(t) for t in BASE}
+CTE: dict[str, str] = {t: base_sql(t) for t in BASE | RAW}
 
 CTE["std_accounts"] = f"""
   SELECT account_id, {_title('account_name')} AS account_name, {_mapped('industry', config.INDUSTRIES)} AS industry, {_mapped('country', config.COUNTRIES)} AS country,
@@ -183,6 +183,43 @@ CHECKS["leads"] += [
 for _name, _checks in CHECKS.items():
     CTE[f"issues_{_name}"] = "\n UNION ALL ".join(_checks)
 CTE["issues"] = "SELECT * FROM issues_accounts UNION ALL SELECT * FROM issues_contacts UNION ALL SELECT * FROM issues_leads"
+
+
+def _one_of(c: str, values: list[str]) -> str:
+    return f"coalesce({c} IN {_in(values)}, false)"
+
+
+def _fits(c: str, pattern: str) -> str:
+    return f"coalesce(regexp_matches({c}, '{_re(pattern)}'), false)"
+
+
+_revenue, _staff = "try_cast(annual_revenue AS double)", "try_cast(employee_count AS double)"
+RAW_CHECKS = {name: [(f"completeness_missing_{c}", "HIGH", _blank(c)) for c in columns] for name, columns in _required.items()}
+RAW_CHECKS["accounts"] += [
+    ("validity_invalid_industry", "MEDIUM", "NOT " + _one_of("industry", list(config.INDUSTRIES))), ("validity_invalid_country", "MEDIUM", "NOT " + _one_of("country", list(config.COUNTRIES))),
+    ("validity_non_numeric_annual_revenue", "MEDIUM", f"annual_revenue IS NOT NULL AND {_revenue} IS NULL"), ("validity_non_numeric_employee_count", "MEDIUM", f"employee_count IS NOT NULL AND {_staff} IS NULL"),
+    ("validity_negative_annual_revenue", "HIGH", f"{_revenue} < 0"), ("validity_negative_employee_count", "HIGH", f"{_staff} < 0"),
+    ("consistency_revenue_without_employees", "LOW", f"{_revenue} > 0 AND {_staff} = 0"), ("uniqueness_duplicate_account_id", "HIGH", _repeated("account_id", "raw_accounts")),
+    ("uniqueness_open_stewardship_issue", "MEDIUM", "account_id IN (SELECT account_id FROM open_accounts)"), ("freshness_stale_account", "LOW", f"{_blank('annual_revenue')} AND {_blank('employee_count')}"),
+]
+RAW_CHECKS["contacts"] += [
+    ("validity_invalid_email", "HIGH", "NOT " + _fits("trim(email)", config.EMAIL)), ("validity_invalid_account_id_format", "MEDIUM", "account_id IS NOT NULL AND NOT " + _fits("account_id", config.ACCOUNT_ID)),
+    ("validity_invalid_contact_id_format", "MEDIUM", "NOT " + _fits("contact_id", config.CONTACT_ID)), ("validity_invalid_phone", "LOW", f"NOT {_blank('phone')} AND NOT " + _fits("trim(phone)", config.PHONE)),
+    ("consistency_orphan_contact_account_id", "HIGH", "account_id IS NOT NULL AND account_id NOT IN (SELECT account_id FROM raw_accounts)"),
+    ("uniqueness_duplicate_contact_id", "HIGH", _repeated("contact_id", "raw_contacts")), ("uniqueness_duplicate_email", "HIGH", _repeated("email", "raw_contacts")),
+    ("freshness_stale_contact", "LOW", f"{_blank('email')} AND {_blank('job_title')}"),
+]
+RAW_CHECKS["leads"] += [
+    ("validity_invalid_lead_status", "MEDIUM", "NOT " + _one_of("status", config.LEAD_STATUSES)), ("validity_invalid_lead_source", "MEDIUM", "NOT " + _one_of("source", config.LEAD_SOURCES)),
+    ("validity_invalid_lead_id_format", "MEDIUM", "NOT " + _fits("lead_id", config.LEAD_ID)), ("consistency_converted_lead_missing_source", "MEDIUM", f"coalesce(status = 'Converted', false) AND {_blank('source')}"),
+    ("uniqueness_duplicate_lead_id", "HIGH", _repeated("lead_id", "raw_leads")),
+    ("uniqueness_duplicate_lead_name_source", "MEDIUM", "lead_name IS NOT NULL AND (lead_name, coalesce(source, '')) IN (SELECT (lead_name, coalesce(source, '')) FROM raw_leads GROUP BY lead_name, coalesce(source, '') HAVING count(*) > 1)"),
+    ("freshness_stale_lead", "LOW", _stale),
+]
+CTE["raw_issues"] = "\n UNION ALL ".join(
+    f"SELECT '{check.split('_')[0].capitalize()}' AS dimension, '{config.ENTITIES[name].kind}' AS entity_type, '{check}' AS dq_check, '{severity}' AS severity FROM raw_{name} WHERE {fails}"
+    for name, checks in RAW_CHECKS.items() for check, severity, fails in checks
+)
 CTE["weights"] = "SELECT * FROM (" + _values([(d.capitalize(), w) for d, w in config.DIMENSIONS.items()]) + ") AS w(dimension, weight)"
 CTE["sizes"] = " UNION ALL ".join(f"SELECT '{n.upper()}' AS entity, '{e.kind}' AS entity_type, count(*) AS total FROM dedup_{n}" for n, e in config.ENTITIES.items())
 CTE["entity_scores"] = f"""
@@ -261,6 +298,11 @@ CTE["job_title_distribution"] = _spread("golden_contacts", "job_title", "job_tit
 CTE["account_size_distribution"] = _bucketed("CASE WHEN employee_count IS NULL OR employee_count <= 0 THEN 'Unknown' WHEN employee_count <= 100 THEN 'Small' WHEN employee_count <= 1000 THEN 'Medium' ELSE 'Large' END", "account_size", ["Small", "Medium", "Large", "Unknown"])
 CTE["revenue_distribution"] = _bucketed("CASE WHEN annual_revenue IS NULL OR annual_revenue < 0 THEN 'Unknown' WHEN annual_revenue < 1e6 THEN '< 1M' WHEN annual_revenue < 1e7 THEN '1M - 10M' WHEN annual_revenue < 1e8 THEN '10M - 100M' ELSE '100M+' END", "revenue_bucket", ["< 1M", "1M - 10M", "10M - 100M", "100M+", "Unknown"])
 CTE["leads_by_industry"] = "SELECT 'Unknown' AS industry, count(*) AS lead_count, 100.0::double AS percentage FROM golden_leads HAVING count(*) > 0"
+CTE["account_ids"] = """
+  SELECT id, max_by(industry, golden_account_id) AS industry FROM (
+    SELECT golden_account_id, CASE WHEN trim(industry) = '' THEN 'Unknown' ELSE trim(industry) END AS industry,
+           unnest(list_concat([golden_account_id, surviving_account_id], string_split(source_account_ids, ','))) AS id FROM golden_accounts) GROUP BY id"""
+CTE["placed_leads"] = f"SELECT a.industry FROM (SELECT *, {LEAD_ACCOUNT} AS account_id FROM golden_leads) l LEFT JOIN account_ids a ON a.id = l.account_id"
 CTE["summary_rows"] = f"""
   SELECT 'Total Accounts' AS metric_name, cast(count(*) AS varchar) AS metric_value FROM golden_accounts
   UNION ALL SELECT 'Total Contacts', cast(count(*) AS varchar) FROM golden_contacts
@@ -348,6 +390,10 @@ SELECTS |= {
     "match_summary": "SELECT coalesce(entity_type, 'TOTAL') AS entity_type, coalesce(match_type, 'ALL') AS match_type, count(*) AS total_matches, count(*) FILTER (confidence_level = 'HIGH') AS high_confidence, count(*) FILTER (confidence_level = 'MEDIUM') AS medium_confidence, count(*) FILTER (confidence_level = 'LOW') AS low_confidence, round(avg(match_score), 4) AS avg_score FROM matches GROUP BY GROUPING SETS ((entity_type, match_type), ())",
     "dedup_kpis": f"SELECT coalesce(entity_type, 'TOTAL') AS entity_type, sum(a)::bigint AS total_records, sum(b)::bigint AS canonical_records, sum(a - b)::bigint AS duplicate_count, {_share('sum(a - b)', 'sum(a)', 0.0)} AS duplicate_rate FROM (" + " UNION ALL ".join(f"SELECT '{e.kind}' AS entity_type, (SELECT count(*) FROM std_{n}) AS a, (SELECT count(*) FROM dedup_{n}) AS b" for n, e in config.ENTITIES.items()) + ") GROUP BY GROUPING SETS ((entity_type), ())",
     "dq_scores": "SELECT * FROM scores", "crm_health": "SELECT score FROM scores WHERE entity = 'CRM HEALTH SCORE'",
+    "dq_raw_check_summary": "SELECT dimension, entity_type, dq_check, severity, count(*) AS issue_count FROM raw_issues GROUP BY ALL",
+    "leads_by_account_industry": _spread("placed_leads", "industry", "industry", "lead_count"),
+    "schema_validation_details": "SELECT * FROM (" + _values([(t, c, k := "double" if c in config.NUMBERS else "string", k, "YES", "OK") for t, columns in config.SCHEMAS.items() for c in columns])
+        + ", ('leads', 'created_date', NULL, 'timestamp_ntz', 'YES', 'EXTRA')) AS d(table_name, column_name, expected_type, actual_type, present, status)",
     "dq_check_summary": "SELECT dimension, entity_type, dq_check, severity, count(*) AS issue_count FROM issues GROUP BY ALL",
     "dq_issues_all_known_accounts": "SELECT * FROM issues_contacts WHERE dq_check = 'consistency_orphan_contact_account_id' AND record_id IN (SELECT contact_id FROM dedup_contacts WHERE account_id NOT IN (SELECT record_id FROM map_accounts))",
     "survivorship_tiers": """SELECT canonical_id, two[1].r AS survivor_id, CASE WHEN len(two) = 1 OR two[1].q <> two[2].q THEN 'Highest record_quality_score' WHEN two[1].c <> two[2].c THEN 'Highest completeness_score'

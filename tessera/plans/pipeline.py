@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +14,8 @@ from tessera.storage import materialize
 class Pipeline:
     """Base tables in, every derived table out.
 
-    Tables are made when they are first asked for. Match edges and clusters, which
-    several stages read, are written to the shared folder once.
+    Tables are made when they are first asked for. Standard tables, match edges and clusters, which
+    several stages read, are written to the shared folder once, and so are checked rows where a whole run needs them.
     """
 
     def __init__(self, spark: SparkSession, base: dict[str, DataFrame], settings: Settings | None = None):
@@ -36,9 +36,24 @@ class Pipeline:
     def std(self) -> dict[str, DataFrame]:
         return {name: standardize.STANDARDS[name](df) for name, df in self.staged.items()}
 
+    @cached_property
+    def kept(self) -> _Lazy:
+        """Standard tables as later stages read them."""
+        return _Lazy(lambda name: materialize(self.std[name], f"std-{name}"))
+
+    @cached_property
+    def edges(self) -> _Lazy:
+        """Match edges of each entity."""
+
+        def make(name: str) -> DataFrame:
+            std = {**self.std, name: self.kept[name]}
+            return materialize(matching.entity_matches(name, std, self.settings), f"matches-{name}")
+
+        return _Lazy(make)
+
     @cached_property
     def matches(self) -> DataFrame:
-        return materialize(matching.match_table(self.std, self.settings), "matches")
+        return reduce(DataFrame.unionByName, [self.edges[name] for name in ENTITIES])
 
     @cached_property
     def golden_accounts(self) -> DataFrame:
@@ -51,13 +66,13 @@ class Pipeline:
     def _clusters(self) -> _Lazy:
         def make(name: str) -> DataFrame:
             known = self.golden_accounts if name == "accounts" else None
-            return materialize(clusters.cluster_map(self.matches, ENTITIES[name], self.std[name], known), "clusters")
+            return materialize(clusters.cluster_map(self.edges[name], ENTITIES[name], self.kept[name], known, matching.is_star(name, self.settings)), f"clusters-{name}")
 
         return _Lazy(make)
 
     @cached_property
     def dedup(self) -> _Lazy:
-        return _Lazy(lambda name: clusters.dedup_table(self.std[name], ENTITIES[name], self.clusters(name)))
+        return _Lazy(lambda name: clusters.dedup_table(self.kept[name], ENTITIES[name], self.clusters(name)))
 
     @cached_property
     def checked(self) -> _Lazy:
@@ -71,6 +86,12 @@ class Pipeline:
 
         return _Lazy(make)
 
+    def write_checked(self) -> None:
+        """Write the checked rows of all entities; stages that are made from now on read them."""
+        for name in ENTITIES:
+            if not hasattr(self.checked[name], "_tessera_path"):
+                self.checked[name] = materialize(self.checked[name], f"checked-{name}")
+
     def each(self, lazy: _Lazy) -> dict[str, DataFrame]:
         return {name: lazy[name] for name in ENTITIES}
 
@@ -96,6 +117,7 @@ class Pipeline:
 
     @cached_property
     def governance(self) -> DataFrame:
+        self.write_checked()
         maps = {name: self.clusters(name) for name in ENTITIES}
         return analytics.governance_metrics(self.scores, self.each(self.record_quality), self.each(self.golden), maps, self.std["stewardship"], self.settings)
 
@@ -105,9 +127,11 @@ class Pipeline:
 
     def outputs(self) -> dict[str, DataFrame]:
         """Every table of a full run, by name."""
+        self.write_checked()
         out = {f"std_{name}": df for name, df in self.std.items()} | {"entity_match_table": self.matches}
         for name in ENTITIES:
-            out |= {f"dedup_{name}": self.dedup[name], f"dedup_map_{name}": self.clusters(name), f"quality_scores_{name}": self.record_quality[name], f"golden_{name}": self.golden[name], f"dq_issues_{name}": self.issues[name]}
+            out |= {f"dedup_{name}": self.dedup[name], f"dedup_map_{name}": self.clusters(name), f"quality_scores_{name}": self.record_quality[name], f"golden_{name}": self.golden[name]}
+        out["dq_issues"] = reduce(DataFrame.unionByName, [self.issues[name] for name in ENTITIES])
         out |= {"dq_scores": self.scores, "governance_metrics": self.governance, **self.business}
         out["business_analytics_dataset"] = analytics.business_dataset(self.each(self.golden), self.business, self.settings)
         return out

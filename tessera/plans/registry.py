@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import ENTITIES, Settings
 from tessera.functions import text
 from tessera.operators import analytics, clusters, golden, ingest, matching, quality, standardize
-from tessera.plans.adapter import base_tables
+from tessera.plans.adapter import LEAD_ACCOUNT, base_table, base_tables
 from tessera.plans.pipeline import Pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def survivor_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return rows.select("canonical_id", "record_id"), rows.drop("canonical_id")
 
 
+def _raw_check_summary(p: Pipeline, sf_dir: str) -> DataFrame:
+    """Issues by check of records that nobody has standardised."""
+    raw = {n: base_table(p.spark, sf_dir, f"raw_{n}") for n in ENTITIES}
+    rows = [quality.issues(quality.checked(n, df, p.settings, raw["accounts"].select("account_id"), p.std["stewardship"]), ENTITIES[n]) for n, df in raw.items()]
+    return quality.check_summary(reduce(DataFrame.unionByName, rows))
+
+
+def _leads_by_account(p: Pipeline) -> DataFrame:
+    leads = p.golden["leads"].withColumn("account_id", F.expr(LEAD_ACCOUNT))
+    return analytics.leads_by_industry(leads, p.golden["accounts"])
+
+
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pool = survivor_pool(spark, sf_dir)
     return golden.survivors(members, pool, "record_id").drop("mapped_golden_id")
@@ -98,7 +110,8 @@ def queries() -> dict[str, Query]:
         "fuzzy_candidate_pairs": _of(_candidates), "fuzzy_levenshtein_pairs": _of(lambda p: matching.edit_distance_pairs(matching.with_keys(p.std)["accounts"], "account_id", "match_key_name", p.settings)),
         "fuzzy_matches_accounts": _of(lambda p: _fuzzy(p, "accounts", "match_key_name")), "fuzzy_matches_contacts": _of(lambda p: _fuzzy(p, "contacts", "match_key_email")),
         "survivorship_tiers": _survivors, "exact_documents": _exact_documents, "unlabelled_documents": _unlabelled, "page_formats": _page_formats, "conversation_roles": _turn_counts,
-        "full_run_governance": _of(lambda p: p.governance, fuzzy=True),
+        "full_run_governance": _of(lambda p: p.governance, fuzzy=True), "schema_validation_details": _of(lambda p: ingest.schema_details(p.spark, p.staged)),
+        "dq_raw_check_summary": lambda spark, sf_dir: _raw_check_summary(pipeline(spark, sf_dir), sf_dir), "leads_by_account_industry": _of(_leads_by_account),
     }
     whole = {f"full_{name}": query for name, query in _matched(fuzzy=True).items() if name != "governance_metrics"}
     return out | _matched(fuzzy=False) | whole

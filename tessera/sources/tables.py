@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tessera import config
+from tessera.sources.workbook import read_workbook
 
 #: Sheet names of a workbook for each base table.
 SHEETS = {"accounts": "Accounts", "contacts": "Contacts", "leads": "Leads", "stewardship": "Data_Stewardship", "golden_map": "Golden_Record_Map"}
@@ -52,21 +53,18 @@ def load_tables(spark: SparkSession, folder: str, kind: str = "parquet") -> dict
 def load_workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Base tables from the sheets of a workbook on the driver, every cell as text.
 
-    Needs a workbook reader (openpyxl). Unknown sheets are ignored, missing ones empty.
+    Unknown sheets are ignored, missing ones empty.
     """
     if not os.path.exists(path):
         raise FileNotFoundError(path)
-    import pandas as pd
-
-    sheets = pd.read_excel(path, sheet_name=None, dtype=str)
+    sheets = read_workbook(path)
     out = {}
     for table, sheet in SHEETS.items():
-        frame = sheets.get(sheet)
-        if frame is None:
+        if sheet not in sheets:
             out[table] = empty_table(spark, table)
         else:
-            schema = T.StructType([T.StructField(str(c), T.StringType()) for c in frame.columns])
-            out[table] = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), schema)
+            columns, rows = sheets[sheet]
+            out[table] = spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return out
 
 

@@ -73,6 +73,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file anywhere Spark can write."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import ENTITIES, Settings
-from tessera.operators import clusters, golden, matching, ordering, quality
+from tessera.operators import analytics, clusters, golden, matching, ordering, quality
 from tessera.operators.components import connected_components
 
 
@@ -120,3 +120,42 @@ def test_record_quality(spark):
     checked = quality.checked("contacts", contacts, Settings())
     got = {r["contact_id"]: (r["record_quality_score"], r["quality_grade"], r["issue_count"], r["golden_record_eligible"]) for r in quality.record_quality(checked, ENTITIES["contacts"], Settings()).collect()}
     assert got == {"CON000001": (100.0, "A", 0, "YES"), "CON000002": (75.0, "C", 1, "NO"), "X": (75.0, "C", 2, "NO")}
+
+
+def test_rows_of_one_id_share_their_issues(spark):
+    rows = [("CON000001", "a@b.co"), ("CON000001", "bad"), (None, "bad"), (None, "bad"), ("CON000002", "bad")]
+    contacts = spark.createDataFrame(rows, "contact_id string, email string").withColumns({c: F.lit("x") for c in ("first_name", "last_name", "job_title")}).withColumn("account_id", F.lit("ACC000001"))
+    got = quality.record_quality(quality.checked("contacts", contacts, Settings()), ENTITIES["contacts"], Settings()).collect()
+    # both rows repeat the id, one of them has an address that is bad and repeated
+    assert sorted((r["contact_id"] or "", r["issue_count"]) for r in got) == [("", 0), ("", 0), ("CON000001", 4), ("CON000001", 4), ("CON000002", 2)]
+
+
+def test_without_accounts_no_contact_is_an_orphan(spark):
+    contacts = spark.createDataFrame([("CON000001", "ACC000009")], "contact_id string, account_id string").withColumns({c: F.lit("x") for c in ("first_name", "last_name", "job_title", "email")})
+    for ids, orphans in (([], 0), (["ACC000001"], 1), (["ACC000009"], 0)):
+        known = spark.createDataFrame([(x,) for x in ids], "account_id string")
+        log = quality.issues(quality.checked("contacts", contacts, Settings(), known), ENTITIES["contacts"])
+        assert log.where("dq_check LIKE '%orphan%'").count() == orphans
+
+
+def test_stars_need_no_loop(spark):
+    draw = random.Random(3)
+    master = spark.createDataFrame([(f"L{i:03d}", f"name {draw.randrange(40)}") for i in range(120)], "lead_id string, lead_name string")
+    found = matching.star_matches(master, "lead_id", "lead_name", "LEAD", "EXACT")
+    plain, star = (clusters.cluster_map(found, ENTITIES["leads"], master, stars=s).collect() for s in (False, True))
+    assert sorted(plain) == sorted(star) and matching.is_star("leads", Settings()) and not matching.is_star("contacts", Settings())
+
+
+def test_reports_are_in_order(spark):
+    leads = spark.createDataFrame([("Web", "Converted")] * 3 + [("LinkedIn", "New"), ("Odd", "New"), ("Referral", "Qualified")], "source string, status string")
+    assert [r["source"] for r in analytics.lead_source_performance(leads).collect()] == ["LinkedIn", "Referral", "Web", "Odd"]
+    spread = analytics.distribution(leads, F.col("source"), "source", "n").collect()
+    assert [(r["source"], r["n"]) for r in spread] == [("Web", 3), ("LinkedIn", 1), ("Odd", 1), ("Referral", 1)]
+    log = spark.createDataFrame([("D", "LEAD", c, "HIGH") for c in "abbccc"], "dimension string, entity_type string, dq_check string, severity string")
+    assert [(r["dq_check"], r["issue_count"]) for r in quality.check_summary(log).collect()] == [("c", 3), ("b", 2), ("a", 1)]
+
+
+def test_the_two_best_of_a_cluster_are_found_before_rows_move(spark):
+    pool = spark.createDataFrame([(f"R{i}", 90.0, 0.0, 0) for i in range(30)], "id string, record_quality_score double, completeness_score double, issue_count long")
+    plan = golden.survivors(pool.select(F.lit("C").alias("canonical_id"), F.col("id").alias("record_id")), pool, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # one in map tasks, one after the shuffle

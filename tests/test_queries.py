@@ -17,16 +17,33 @@ def test_query(spark, name):
     same_rows(QUERIES[name](spark, FOLDER), SQL[name])
 
 
-def test_fuzzy_run(spark):
+@pytest.mark.parametrize("name,exact", [("accounts", "match_key_name"), ("contacts", "match_key_email")])
+def test_fuzzy_matches(spark, name, exact):
     import difflib
-
-    rows = QUERIES["fuzzy_matches_accounts"](spark, FOLDER).collect()
-    assert rows and all(r["match_score"] >= 0.75 and r["match_type"] == "FUZZY" for r in rows)
-    keys = {r["account_id"]: r["match_key_name"] for r in QUERIES["match_keys_accounts"](spark, FOLDER).collect()}
-    for r in rows[:50]:
-        a, b = keys[r["matched_record_id"]], keys[r["source_record_id"]]
-        assert abs(difflib.SequenceMatcher(None, a, b).ratio() - r["match_score"]) < 1e-4
-    assert QUERIES["full_run_governance"](spark, FOLDER).count() == 15
+    from collections import Counter
+
+    key, id_col = "match_key_name", f"{name[:-1]}_id"
+    rows = QUERIES[f"match_keys_{name}"](spark, FOLDER).collect()
+    shared = Counter(r[exact] for r in rows if r[exact])
+    left = sorted((r[key], r[id_col]) for r in rows if r[key] and shared[r[exact]] < 2)
+    want = {}
+    for i, (a, a_id) in enumerate(left):
+        for b, b_id in left[i + 1 : i + 11]:
+            ratio = difflib.SequenceMatcher(None, a, b).ratio()
+            if ratio >= 0.75:
+                want[b_id, a_id] = (round(ratio, 4), "HIGH" if ratio >= 0.9 else "MEDIUM")
+    got = QUERIES[f"fuzzy_matches_{name}"](spark, FOLDER).collect()
+    assert {(r["source_record_id"], r["matched_record_id"]): (r["match_score"], r["confidence_level"]) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_every_check_finds_something(spark):
+    rows = QUERIES["dq_raw_check_summary"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r["dq_check"] for r in rows}) == 38 and [r["issue_count"] for r in rows] == sorted((r["issue_count"] for r in rows), reverse=True)
+
+
+def test_leads_have_industries(spark):
+    rows = QUERIES["leads_by_account_industry"](spark, FOLDER).collect()
+    assert len(rows) > 3 and {"Unknown", "Manufacturing", "Retail"} <= {r["industry"] for r in rows}
 
 
 def test_whole_matches_clusters_and_masters(spark):
