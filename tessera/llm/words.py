@@ -86,6 +86,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def give_back() -> None:
     """Return freed memory to the system; idle workers would keep it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # only glibc has it

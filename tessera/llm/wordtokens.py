@@ -42,7 +42,7 @@ def token_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class WordTokenizer:
     """Encode chunks of texts; the run cache is dropped beyond ``max_runs`` entries."""
 
-    def __init__(self, path: str, max_runs: int = 500_000):
+    def __init__(self, path: str, max_runs: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
