@@ -14,12 +14,14 @@ import numpy as np
 
 from tessera.llm.words import ragged, word_hashes, word_spans
 
-_open: dict[str, WordTokenizer] = {}
+_open: dict[tuple[str, int], WordTokenizer] = {}
 
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Runs that a worker's cache holds.
+MOST_RUNS = 500_000
 #: Runs of letters are encoded this many at a time, as one text.
 TOGETHER = 2000
 
@@ -42,7 +44,7 @@ def token_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class WordTokenizer:
     """Encode chunks of texts; the run cache is dropped beyond ``max_runs`` entries."""
 
-    def __init__(self, path: str, max_runs: int = 300_000):
+    def __init__(self, path: str, max_runs: int = MOST_RUNS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,11 +114,11 @@ class WordTokenizer:
         return ids, np.concatenate(([0], np.cumsum(size)))[bounds]
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, max_runs: int = MOST_RUNS) -> WordTokenizer:
     """One tokenizer per file and worker process."""
-    if path not in _open:
-        _open[path] = WordTokenizer(path)
-    return _open[path]
+    if (path, max_runs) not in _open:
+        _open[path, max_runs] = WordTokenizer(path, max_runs)
+    return _open[path, max_runs]
 
 
 def forget_tokenizers() -> None:
