@@ -26,16 +26,23 @@ def _stars(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _settled(labels: DataFrame) -> bool:
+    """Whether every node has one component: a repeated id that comes with several keys joins their stars."""
+    return labels.groupBy("node").count().where("count > 1").isEmpty()
+
+
 def cluster_map(edges: DataFrame, entity: Entity, master: DataFrame, golden: DataFrame | None = None, stars: bool = False) -> DataFrame:
-    """One row per record that is in the master or in an edge; ``stars`` says that all edges lead to the smallest id of their cluster.
+    """One row per record that is in the master or in an edge; ``stars`` says that all edges lead to the smallest id of their one key.
 
     The canonical member is the smallest golden id of the cluster, else its smallest
-    id. Repeated ids of the master have one row.
+    id. Repeated ids of the master have one row. Stars that share an id are one cluster, so they go through the components loop.
     """
     own = edges.where(F.col("entity_type") == entity.kind)
     ends = own.select(F.explode(F.array("source_record_id", "matched_record_id")).alias("record_id"), "match_type")
     types = ends.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_set("match_type")), ",").alias("match_type_used"))  # three types at most
-    labels = _stars(own) if stars else connected_components(own, "source_record_id", "matched_record_id")
+    labels = _stars(own) if stars else None
+    if labels is None or not _settled(labels):
+        labels = connected_components(own, "source_record_id", "matched_record_id")
     ids = master.select(F.col(entity.id_col).cast("string").alias("record_id")).union(types.select("record_id")).where("record_id IS NOT NULL").distinct()
     members = ids.join(labels, F.col("record_id") == F.col("node"), "left").select("record_id", F.coalesce("component", "record_id").alias("root"))
     if golden is not None:

@@ -159,3 +159,10 @@ def test_the_two_best_of_a_cluster_are_found_before_rows_move(spark):
     pool = spark.createDataFrame([(f"R{i}", 90.0, 0.0, 0) for i in range(30)], "id string, record_quality_score double, completeness_score double, issue_count long")
     plan = golden.survivors(pool.select(F.lit("C").alias("canonical_id"), F.col("id").alias("record_id")), pool, "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2  # one in map tasks, one after the shuffle
+
+
+def test_stars_that_share_an_id_are_one_cluster(spark):
+    master = spark.createDataFrame([("L1", "a"), ("L3", "a"), ("L3", "b"), ("L2", "b"), ("L4", "b"), ("L5", "c")], "lead_id string, lead_name string")
+    found = matching.star_matches(master, "lead_id", "lead_name", "LEAD", "EXACT")
+    got = {r["record_id"]: (r["canonical_id"], r["cluster_size"]) for r in clusters.cluster_map(found, ENTITIES["leads"], master, stars=True).collect()}
+    assert got == {**{f"L{i}": ("L1", 4) for i in range(1, 5)}, "L5": ("L5", 1)}
