@@ -179,6 +179,13 @@ def check_summary(log: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("issue_count"), "entity_type", "dq_check")
 
 
+def quality_by_id(quality: DataFrame, entity: Entity) -> DataFrame:
+    """One row for each id; the issues of an id count once for each row that has it."""
+    counts = ["issue_count", "high_severity_issues"]
+    same = [c for c in quality.columns if c not in (entity.id_col, *counts)]
+    return quality.groupBy(entity.id_col).agg(*[F.first(c).alias(c) for c in same], *[F.sum(c).alias(c) for c in counts]).select(*quality.columns)
+
+
 def record_quality(rows: DataFrame, entity: Entity, settings: Settings) -> DataFrame:
     """Scores, grade, issue counts and eligibility of each record; rows of one id share their issues.
 

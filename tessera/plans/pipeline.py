@@ -105,7 +105,10 @@ class Pipeline:
 
     @cached_property
     def record_quality(self) -> _Lazy:
-        return _Lazy(lambda name: quality.record_quality(self.checked[name], ENTITIES[name], self.settings))
+        def make(name: str) -> DataFrame:
+            return quality.quality_by_id(quality.record_quality(self.checked[name], ENTITIES[name], self.settings), ENTITIES[name])
+
+        return _Lazy(make)
 
     @cached_property
     def golden(self) -> _Lazy:

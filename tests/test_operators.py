@@ -166,3 +166,11 @@ def test_stars_that_share_an_id_are_one_cluster(spark):
     found = matching.star_matches(master, "lead_id", "lead_name", "LEAD", "EXACT")
     got = {r["record_id"]: (r["canonical_id"], r["cluster_size"]) for r in clusters.cluster_map(found, ENTITIES["leads"], master, stars=True).collect()}
     assert got == {**{f"L{i}": ("L1", 4) for i in range(1, 5)}, "L5": ("L5", 1)}
+
+
+def test_quality_by_id_has_one_row_an_id(spark):
+    rows = [("CON000001", "a@b.co"), ("CON000001", "bad"), (None, "bad"), (None, "bad"), ("CON000002", "bad")]
+    contacts = spark.createDataFrame(rows, "contact_id string, email string").withColumns({c: F.lit("x") for c in ("first_name", "last_name", "job_title")}).withColumn("account_id", F.lit("ACC000001"))
+    each = quality.record_quality(quality.checked("contacts", contacts, Settings()), ENTITIES["contacts"], Settings())
+    got = quality.quality_by_id(each, ENTITIES["contacts"])
+    assert sorted((r["contact_id"] or "", r["issue_count"]) for r in got.collect()) == [("", 0), ("CON000001", 8), ("CON000002", 2)] and got.columns == each.columns
