@@ -46,14 +46,17 @@ def _all_issues(p: Pipeline) -> DataFrame:
 
 
 def survivor_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines of orders as records of clusters, with many ties at every tier."""
+    """Lines of orders as records of clusters, with many ties at every tier; of a repeated line the first in the order of the table."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     record = F.concat(F.lit("R"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit("-"), F.col("l_linenumber").cast("string"))
     rows = lines.select(
         F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("canonical_id"), record.alias("record_id"),
         (F.floor(F.col("l_quantity") / 25) * 10.0 + 70).alias("record_quality_score"), F.when(F.col("l_tax") < 0.04, 0.0).otherwise(100.0).alias("completeness_score"),
         (F.floor(F.col("l_discount") * 50)).cast("long").alias("issue_count"), F.date_format("l_shipdate", "yyyy-MM-01 00:00:00").alias("created_date"), F.lit("B").alias("quality_grade"),
-    ).dropDuplicates(["record_id"])
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"),
+    )
+    own = [c for c in rows.columns if c not in ("record_id", "_at")]
+    rows = rows.groupBy("record_id").agg(F.min_by(F.struct(*own), "_at").alias("_row")).select("record_id", "_row.*")
     return rows.select("canonical_id", "record_id"), rows.drop("canonical_id")
 
 

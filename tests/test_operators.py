@@ -200,3 +200,17 @@ def test_changes_of_repeated_ids_are_counted_by_pairs(spark):
     want = {k: sum((a[i] or "") != (b[i] or "") for a, b in pairs) for i, k in ((1, "name_changes"), (2, "source_changes"), (3, "status_changes"))}
     got = standardize.change_summary({"leads": leads}).collect()
     assert {r["counter"]: r["changes"] for r in got} == want and {r["total_rows"] for r in got} == {len(pairs)}
+
+
+def test_the_first_of_repeated_lines_counts(spark, tmp_path):
+    from tessera.plans import registry
+
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_tax double, l_discount double, l_shipdate timestamp_ntz"
+    line = lambda key, quantity: (key, 1, quantity, 0.0, 0.0, None)
+    # Spark reads the longer file first
+    for name, rows in (("part-0", [line(7, 60.0), line(7, 10.0)]), ("part-1", [line(k, 30.0) for k in (7, *range(100, 3000))])):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    pool = registry.survivor_pool(spark, str(tmp_path))[1]
+    assert [r["record_quality_score"] for r in pool.where("record_id = 'R000000007-1'").collect()] == [90.0] and pool.count() == 2901
