@@ -40,8 +40,9 @@ TABLES, PER_TABLE, WIDTH, SEED = 4, 10, 2.5, 10
 SAMPLE, FITTED, MOST_PROBES = 1000, 0.95, 512
 #: Queries whose results a task holds at a time.
 HELD = 4096
-#: Vectors of one bucket that a task compares at a time.
+#: Vectors of one bucket that a task compares at a time, and distances that it estimates at a time.
 BLOCK = 4096
+CELLS = 1 << 18
 
 
 def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
@@ -66,7 +67,7 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
 
 def needed_probes(hasher: Projections, x: np.ndarray, near: int, queries: int = 100) -> int:
     """Probes of each table after which :data:`FITTED` of the sample's ``near`` nearest pairs have met."""
-    far = ((x[:queries, None] - x[None]) ** 2).sum(axis=2) if len(x) <= 2000 else None
+    far = np.stack([((x - q) ** 2).sum(axis=1) for q in x[:queries]])  # a query at a time: the driver has little room
     np.fill_diagonal(far, np.inf)
     close = np.argsort(far, axis=1, kind="stable")[:, : min(near, len(x) - 1)]
     places = hasher.places(x)
@@ -111,17 +112,33 @@ def _nearest(kind: str, k: int):
                 if not len(stored):
                     continue
                 table = matrix(vectors.take(pa.array(stored)), kind)
-                own = ids.take(pa.array(stored)).to_pylist()
+                own = ids.take(pa.array(stored))
                 at = np.flatnonzero(asks & (size == dim))
-                for q, x in zip(query[at].astype(np.int64).tolist(), matrix(vectors.take(pa.array(at)), kind), strict=True):
-                    gap = table - x
-                    far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-                    taken[q] = taken.get(q, 0) + len(far)
-                    near = np.flatnonzero(far <= np.partition(far, k)[k]) if len(far) > k + 1 else range(len(far))
-                    seen = set(best.setdefault(q, []))
-                    new = {(float(far[i]), d) for i in near for d in own[i]} - seen
-                    if new:
-                        best[q] = heapq.nsmallest(k + 1, seen | new)
+                long = np.einsum("ij,ij->i", table, table)  # infinite beyond 1e154
+                step = max(1, CELLS // len(table))
+                for part in (at[i : i + step] for i in range(0, len(at), step)):
+                    asked = matrix(vectors.take(pa.array(part)), kind)
+                    mine = query[part].astype(np.int64).tolist()
+                    short = np.einsum("ij,ij->i", asked, asked)
+                    # squares by one matrix product tell what can be near, up to rounding; the distances themselves are taken from the gaps
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        about = long - 2 * (asked @ table.T) + short[:, None]
+                    slack = 1e-10 * (long.max() + short) + 1e-300
+                    for q in mine:
+                        taken[q] = taken.get(q, 0) + len(table)
+                    bound = np.array([best[q][k][0] * best[q][k][0] if len(best.setdefault(q, [])) > k else np.inf for q in mine])
+                    about[~np.isfinite(about).all(axis=1)] = 0  # beyond the range of squares everything is looked at
+                    for j in np.flatnonzero(about.min(axis=1) <= bound * (1 + 1e-10) + slack):
+                        limit = bound[j] * (1 + 1e-10)
+                        if len(table) > k + 1:
+                            limit = min(limit, np.partition(about[j], k)[k] + slack[j])
+                        near = np.flatnonzero(about[j] <= limit + slack[j])
+                        gap = table[near] - asked[j]
+                        far = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+                        seen = set(best[mine[j]])
+                        new = {(float(f), d) for f, i in zip(far, near, strict=True) for d in own[int(i)].as_py()} - seen
+                        if new:
+                            best[mine[j]] = heapq.nsmallest(k + 1, seen | new)
             if len(best) >= HELD:
                 yield flush()
         yield flush()
@@ -129,6 +146,25 @@ def _nearest(kind: str, k: int):
     return run
 
 
+def _held_buckets(visits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Probes of buckets that hold something; the optimizer takes probes for as few as queries, so it is kept from broadcasting them."""
+    return visits.hint("merge").join(sizes, ["t", "code"])
+
+
+def _sample(vectors: DataFrame, total: int) -> list:
+    """The first :data:`SAMPLE` vectors in the order of a hash.
+
+    An ordered limit brings so many rows of every task to the driver; only hashes below a bound, some four times
+    as many as are wanted in all, are let through where that is enough.
+    """
+    order = F.xxhash64("vector")
+    if total > 8 * SAMPLE:
+        low = vectors.where(order < F.lit(-(2**63) + (2**64 * 4 * SAMPLE) // total)).orderBy(order, "vector").limit(SAMPLE).collect()
+        if len(low) == SAMPLE:
+            return low
+    return vectors.orderBy(order, "vector").limit(SAMPLE).collect()
+
+
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
     tables: int = TABLES, per_table: int = PER_TABLE, probes: int | None = None, width: float = WIDTH,
@@ -153,7 +189,7 @@ def nearest_neighbours(
     short = clean(vectors).mapInArrow(tidy(shorten), "vector binary, ids array<long>").groupBy("vector").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     stored = materialize(short.select("vector", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids")), "ann-vectors")
     total = stored.count()
-    sample = stored.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
+    sample = _sample(stored.select("vector"), total)
     step = np.dtype(kind).itemsize
     hashers: dict[int, Projections] = {}
     depth = {}
@@ -199,7 +235,7 @@ def nearest_neighbours(
     sizes = entries.groupBy("t", "code").count().select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     large = sizes.where("blocks > 1")
     held = entries.join(large, ["t", "code"], "left").select("t", "code", F.pmod(F.xxhash64("vector"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), no_query.alias("query"), "ids", "vector")
-    met = visits.join(sizes, ["t", "code"]).join(asked, "query")
+    met = _held_buckets(visits, sizes).join(asked, "query")
     asks = met.select("t", "code", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query", none.alias("ids"), "vector")
 
     def compare(rows: DataFrame) -> DataFrame:

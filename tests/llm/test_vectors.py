@@ -122,3 +122,52 @@ def test_few_vectors_are_compared_where_they_cluster(spark):
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
     share, compared = recall(ids, x, ann.nearest_neighbours(df, df.where("vec_id % 100 = 0")).collect())
     assert share >= 0.95 and compared < 0.2
+
+
+def test_fitting_takes_little_memory_on_the_driver():
+    import tracemalloc
+
+    x = np.random.default_rng(1).standard_normal((ann.SAMPLE, 64))
+    tracemalloc.start()
+    ann.needed_probes(ann.Projections(64, 1, ann.PER_TABLE, 20.0, 1), x, 1, 20)
+    tracemalloc.reset_peak()
+    ann.needed_probes(ann.Projections(64, 1, ann.PER_TABLE, 20.0, 1), x, 1, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # 51 MB for each array of all gaps
+
+
+def test_the_sample_does_not_bring_rows_of_every_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "SAMPLE", 20)
+    rows = spark.range(500).select(F.encode(F.col("id").cast("string"), "utf-8").alias("vector"))
+    want = rows.orderBy(F.xxhash64("vector"), "vector").limit(20).collect()
+    assert ann._sample(rows, 500) == want and ann._sample(rows, 10**6) == want  # too low a bound falls back
+
+
+@pytest.mark.parametrize("scale", [1e-170, 1.0, 1e160])
+def test_distances_of_any_size_are_exact(scale):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    stored, asked = rng.standard_normal((60, 8)) * scale, rng.standard_normal((5, 8)) * scale
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+    rows = [(0, 0, 0, None, [i], v.tobytes()) for i, v in enumerate(stored)] + [(0, 0, 0, q, None, v.tobytes()) for q, v in enumerate(asked)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=list("tcbqiv"))
+    with np.errstate(all="ignore"):
+        got = [r for b in ann._nearest("<f8", 3)(iter([batch])) for r in b.to_pylist() if r["vec_id"] is not None]
+        far = np.sqrt(((stored[None] - asked[:, None]) ** 2).sum(axis=2))
+    for q in range(5):
+        assert [(r["score"], r["vec_id"]) for r in got if r["query"] == q] == [(pytest.approx(far[q, i]), i) for i in np.lexsort((np.arange(60), far[q]))[:4]]
+
+
+def test_probes_are_not_collected_on_the_driver(spark):
+    def many(batches):
+        yield from batches
+
+    visits = spark.range(10).selectExpr("cast(id as int) AS t", "id AS code", "id AS query").mapInArrow(many, "t int, code long, query long")
+    sizes = spark.range(10).selectExpr("cast(id as int) AS t", "id AS code", "1 AS blocks").groupBy("t", "code").count()
+    met = ann._held_buckets(visits, sizes)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 10
+    assert "Broadcast" in visits.join(sizes, ["t", "code"])._jdf.queryExecution().executedPlan().toString()
