@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,16 +138,19 @@ def leads_by_industry(leads: DataFrame, accounts: DataFrame) -> DataFrame:
     return distribution(rows, text.named(F.col("industry")), "industry", "lead_count")
 
 
+#: Business figures by name, from golden records by entity.
+BUSINESS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+    "lead_funnel": lambda g: lead_funnel(g["leads"]), "lead_source_performance": lambda g: lead_source_performance(g["leads"]),
+    "industry_distribution": lambda g: distribution(g["accounts"], text.named(F.col("industry")), "industry", "account_count"),
+    "country_distribution": lambda g: distribution(g["accounts"], text.named(F.col("country")), "country", "account_count"),
+    "account_size_distribution": lambda g: account_sizes(g["accounts"]), "revenue_distribution": lambda g: revenue_buckets(g["accounts"]),
+    "job_title_distribution": lambda g: distribution(g["contacts"], text.named(F.col("job_title")), "job_title", "contact_count"),
+    "leads_by_industry": lambda g: leads_by_industry(g["leads"], g["accounts"]),
+}
+
+
 def business_tables(golden: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    accounts, contacts, leads = golden["accounts"], golden["contacts"], golden["leads"]
-    return {
-        "lead_funnel": lead_funnel(leads), "lead_source_performance": lead_source_performance(leads),
-        "industry_distribution": distribution(accounts, text.named(F.col("industry")), "industry", "account_count"),
-        "country_distribution": distribution(accounts, text.named(F.col("country")), "country", "account_count"),
-        "account_size_distribution": account_sizes(accounts), "revenue_distribution": revenue_buckets(accounts),
-        "job_title_distribution": distribution(contacts, text.named(F.col("job_title")), "job_title", "contact_count"),
-        "leads_by_industry": leads_by_industry(leads, accounts),
-    }
+    return {name: make(golden) for name, make in BUSINESS.items()}
 
 
 def executive_summary(golden: dict[str, DataFrame], tables: dict[str, DataFrame]) -> DataFrame:

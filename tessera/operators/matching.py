@@ -43,8 +43,9 @@ def star_matches(df: DataFrame, id_col: str, key: str, entity: str, kind: str) -
     A repeat of the smallest id itself gives a self match, as every repeat does.
     """
     keyed = df.where(F.coalesce(F.col(key) != "", F.lit(False))).select(F.col(id_col).alias("id"), F.col(key).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n >= 2")
-    members = keyed.groupBy("key", "id").agg(F.count("*").alias("times")).join(heads, "key")
+    own = keyed.groupBy("key", "id").agg(F.count("*").alias("times"))
+    heads = own.groupBy("key").agg(F.min("id").alias("head"), F.sum("times").alias("n")).where("n >= 2")
+    members = own.join(heads, "key")
     others = members.withColumn("times", F.col("times") - (F.col("id") == F.col("head")).cast("long"))
     pairs = others.where("times > 0").select(F.col("id").alias("source_record_id"), F.col("head").alias("matched_record_id"), F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
     return _edges(pairs, entity, kind, key, F.lit(1.0), F.lit("HIGH"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,9 +87,9 @@ class Pipeline:
 
         return _Lazy(make)
 
-    def write_checked(self) -> None:
-        """Write the checked rows of all entities; stages that are made from now on read them."""
-        for name in ENTITIES:
+    def write_checked(self, names: Iterable[str] = ENTITIES) -> None:
+        """Write the checked rows of entities; stages that are made from now on read them."""
+        for name in names:
             if not hasattr(self.checked[name], "_tessera_path"):
                 self.checked[name] = materialize(self.checked[name], f"checked-{name}")
 
@@ -114,7 +115,9 @@ class Pipeline:
     def golden(self) -> _Lazy:
         def make(name: str) -> DataFrame:
             curated = self.std["golden_map"] if name == "accounts" else None
-            return golden.golden_records(ENTITIES[name], self.dedup[name], self.clusters(name), self.record_quality[name], curated)
+            self.write_checked([name])  # a golden record is put together from several reads of its entity's quality
+            judged = materialize(self.record_quality[name], f"quality-{name}")
+            return golden.golden_records(ENTITIES[name], self.dedup[name], self.clusters(name), judged, curated)
 
         return _Lazy(lambda name: materialize(make(name), "golden"))
 
@@ -125,8 +128,9 @@ class Pipeline:
         return analytics.governance_metrics(self.scores, self.each(self.record_quality), self.each(self.golden), maps, self.std["stewardship"], self.settings)
 
     @cached_property
-    def business(self) -> dict[str, DataFrame]:
-        return analytics.business_tables(self.each(self.golden))
+    def business(self) -> _Lazy:
+        """Business figures; each makes the golden records that it reads."""
+        return _Lazy(lambda name: analytics.BUSINESS[name](self.golden))
 
     def outputs(self) -> dict[str, DataFrame]:
         """Every table of a full run, by name."""
@@ -135,7 +139,7 @@ class Pipeline:
         for name in ENTITIES:
             out |= {f"dedup_{name}": self.dedup[name], f"dedup_map_{name}": self.clusters(name), f"quality_scores_{name}": self.record_quality[name], f"golden_{name}": self.golden[name]}
         out["dq_issues"] = reduce(DataFrame.unionByName, [self.issues[name] for name in ENTITIES])
-        out |= {"dq_scores": self.scores, "governance_metrics": self.governance, **self.business}
+        out |= {"dq_scores": self.scores, "governance_metrics": self.governance, **{name: self.business[name] for name in analytics.BUSINESS}}
         out["business_analytics_dataset"] = analytics.business_dataset(self.each(self.golden), self.business, self.settings)
         return out
 

@@ -88,3 +88,25 @@ def test_whole_matches_clusters_and_masters(spark):
 def test_entry_imports():
     entry = importlib.import_module("__spark_entry__")
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_lead_figures_with_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    with duckdb.connect() as c:  # test ids beyond six digits are cut, so ten events share an id
+        c.execute(f"COPY (SELECT e.* REPLACE (event_id % 50 + k * 500000 AS event_id) FROM '{FOLDER}/events.parquet' e CROSS JOIN range(4) r(k) WHERE event_id < 50) TO '{tmp_path}/events.parquet'")
+        for t in ("customer", "nation", "orders"):
+            c.execute(f"COPY (SELECT * FROM '{FOLDER}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    for name in ("lead_funnel", "lead_source_performance", "leads_by_account_industry"):
+        same_rows(QUERIES[name](spark, str(tmp_path)), SQL[name], str(tmp_path))
+
+
+@pytest.mark.parametrize("name,read", [("lead_funnel", {"leads"}), ("lead_source_performance", {"leads"}), ("leads_by_industry", {"leads", "accounts"})])
+def test_lead_figures_make_what_they_read(spark, name, read):
+    from tessera.config import ENTITIES
+    from tessera.plans.pipeline import _Lazy
+
+    run = registry.pipeline(spark, FOLDER)
+    columns = lambda n: ", ".join(f"'' AS {c}" for c in (f"golden_{n[:-1]}_id", f"surviving_{n[:-1]}_id", f"source_{n[:-1]}_ids", *ENTITIES[n].business))
+    run.golden = _Lazy(lambda n: spark.sql(f"SELECT {columns(n)}"))
+    assert run.business[name].columns and set(run.golden) == read
