@@ -458,3 +458,43 @@ def test_common_weights_are_means_by_use():
     out = next(lm._merge(iter([batch])))
     assert np.frombuffer(out.column(2)[0].as_py(), np.int64).tolist() == [0, 16, 32]
     assert np.frombuffer(out.column(3)[0].as_py(), np.float32).tolist() == pytest.approx([3.25, 5.0, 7.0])
+
+
+def test_lm_walks_all_levels_of_the_trees_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = random_vocabulary(rng)
+    w = {k: x.astype(np.float64) for k, x in lm_model.start_weights(v).items()}
+    leaves = np.sort(v.leaf[rng.integers(0, len(v.leaf), 500)])
+    sums, calls = np.einsum, []
+    monkeypatch.setattr(np, "einsum", lambda *a, **k: (calls.append(a[0]), sums(*a, **k))[1])
+    for scale in (1, 200):  # the second one has logits beyond 60
+        hidden = rng.standard_normal((500, lm_model.WIDTH)) * scale
+        calls.clear()
+        score, d_hidden, grads = lm_model._output(w, v, hidden, leaves, True)
+        assert len(v.path) > 4 and len(calls) <= 3
+        logits = np.minimum(hidden @ w["part"].T + w["part_bias"], 60)
+        assert (logits.max() == 60) == (scale > 1)
+        share = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        want, d_want = np.log(share[np.arange(500), v.part[leaves]]), share @ w["part"] - w["part"][v.part[leaves]]
+        d_node = np.zeros_like(w["node"])
+        for i, leaf in enumerate(leaves):
+            for node, right in zip(v.path[:, leaf], v.side[:, leaf], strict=True):
+                if node >= 0:
+                    z = np.clip(hidden[i] @ w["node"][node] + w["node_bias"][node], -30, 30)
+                    g = 1 / (1 + np.exp(-z)) - right
+                    want[i] -= np.log1p(np.exp(-z if right else z))
+                    d_want[i] += g * w["node"][node]
+                    d_node[node] += g * hidden[i]
+        assert score == pytest.approx(want, abs=1e-6) and d_hidden == pytest.approx(d_want, abs=1e-6)
+        nodes, got = grads["node"]
+        assert len(set(nodes)) == len(nodes) and got == pytest.approx(d_node[nodes], abs=1e-6) and not np.delete(d_node, nodes, axis=0).any()
+
+
+@pytest.mark.parametrize("kind,width", [(np.float32, 32), (np.float64, 6), (np.float32, 5)])
+def test_lm_sums_of_runs(kind, width):
+    rng = np.random.default_rng(5)
+    rows, first = rng.standard_normal((300, width)).astype(kind), np.unique(np.append(rng.integers(1, 300, 40), 0))
+    assert lm_model._sum_runs(rows, first) == pytest.approx(np.stack([x.sum(axis=0) for x in np.split(rows, first[1:])]), abs=1e-4)
+    for most in (1000, 1 << 20):
+        x = rng.integers(0, most + 1, 500).astype(np.int32)
+        assert (lm_model._order(x, most) == np.argsort(x, kind="stable")).all()
