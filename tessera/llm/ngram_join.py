@@ -344,7 +344,7 @@ def similar_classes(docs: DataFrame, block: int = BLOCK, bucket_bits: int = BUCK
     )
     prefixes = sets.select("class", "prefix", "grams").mapInArrow(tidy(_prefix_rows), "gram long, class long")
     hubs = prefixes.groupBy("gram").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last")
-    meets = prefixes.join(hubs, "gram").where("class <> hub").select(F.col("class").alias("src"), F.col("hub").alias("dst")).distinct()
+    meets = prefixes.join(hubs, "gram").where("class <> hub").select(F.col("class").alias("src"), F.col("hub").alias("dst"))  # repeats go when the components are made
     groups = connected_components(meets).select(F.col("node").alias("class"), F.col("component").alias("k"))
     members = materialize(_members(sets, groups, block), "members")
     discard(sets)

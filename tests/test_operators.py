@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import ENTITIES, Settings
-from tessera.operators import analytics, clusters, golden, matching, ordering, quality
+from tessera.operators import analytics, clusters, components, golden, matching, ordering, quality
 from tessera.operators.components import connected_components
 
 
@@ -34,6 +34,21 @@ def test_components(spark, n, m):
     assert got == {x: c for x, c in union_find(edges).items() if x in linked}
 
 
+@pytest.mark.parametrize("few", [0, 100, 1 << 18])
+def test_components_by_either_way(spark, few):
+    draw = random.Random(few)
+    edges = [(f"n{draw.randrange(300)}", f"n{draw.randrange(300)}") for _ in range(200)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src string, dst string"), few=few).collect()}
+    assert got == {x: c for x, c in union_find((a, b) for a, b in edges if a != b).items()}
+
+
+@pytest.mark.parametrize("large", [True, False])
+def test_few_edges_are_no_shuffle(spark, large):
+    edges = spark.range(20).repartition(5).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    plan = lambda one: components._star(edges, large, one).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan(True).count("Exchange hashpartitioning") == 0 < plan(False).count("Exchange hashpartitioning")
+
+
 def test_neighbours(spark):
     rows = [(f"id{i:03d}", f"k{(i * 37) % 50:02d}") for i in range(90)]
     pairs = ordering.neighbour_pairs(spark.createDataFrame(rows, "id string, key string"), "key", "id", 10, block=16)
