@@ -20,6 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Lead dates of the test tables lie around this day's freshness limit.
 AS_OF = date(2026, 1, 15)
 
+#: Stands for a missing id, which is one record and sorts last as in the SQL.
+NO_ID = "\U0010ffff"
+
 
 def pipeline(spark: SparkSession, sf_dir: str, **settings) -> Pipeline:
     """A run over the adapter's tables; without fuzzy matches unless asked, so that SQL can express it."""
@@ -50,9 +53,9 @@ def survivor_pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     record = F.concat(F.lit("R"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.lit("-"), F.col("l_linenumber").cast("string"))
     rows = lines.select(
-        F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("canonical_id"), record.alias("record_id"),
+        F.coalesce(F.concat(F.lit("C"), F.col("l_orderkey").cast("string")), F.lit(NO_ID)).alias("canonical_id"), F.coalesce(record, F.lit(NO_ID)).alias("record_id"),
         (F.floor(F.col("l_quantity") / 25) * 10.0 + 70).alias("record_quality_score"), F.when(F.col("l_tax") < 0.04, 0.0).otherwise(100.0).alias("completeness_score"),
-        (F.floor(F.col("l_discount") * 50)).cast("long").alias("issue_count"), F.date_format("l_shipdate", "yyyy-MM-01 00:00:00").alias("created_date"), F.lit("B").alias("quality_grade"),
+        (F.floor(F.col("l_discount") * 50)).cast("long").alias("issue_count"), F.unix_date(F.trunc("l_shipdate", "month")).cast("long").alias("month"), F.lit("B").alias("quality_grade"),
         F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"),
     )
     own = [c for c in rows.columns if c not in ("record_id", "_at")]
@@ -74,7 +77,8 @@ def _leads_by_account(p: Pipeline) -> DataFrame:
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pool = survivor_pool(spark, sf_dir)
-    return golden.survivors(members, pool, "record_id").drop("mapped_golden_id")
+    found = golden.survivors(members, pool, "record_id", dated=F.col("month")).drop("mapped_golden_id")
+    return found.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("canonical_id", "survivor_id")})
 
 
 def _exact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

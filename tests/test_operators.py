@@ -229,3 +229,28 @@ def test_the_first_of_repeated_lines_counts(spark, tmp_path):
         next((tmp_path / name).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     pool = registry.survivor_pool(spark, str(tmp_path))[1]
     assert [r["record_quality_score"] for r in pool.where("record_id = 'R000000007-1'").collect()] == [90.0] and pool.count() == 2901
+
+
+def test_survivors_of_odd_lines_equal_the_sql(spark, tmp_path):
+    from datetime import datetime
+
+    from compare import same_rows
+
+    from tessera.plans import oracle, registry
+
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_tax double, l_discount double, l_shipdate timestamp_ntz"
+    old, new = datetime(1935, 5, 9), datetime(1999, 5, 9)
+    rows = [
+        (1, 1, 30.0, 0.0, None, new), (1, 2, 30.0, 0.0, 0.1, new),  # an unknown count of issues comes last
+        (2, 1, 30.0, 0.0, 0.0, None), (2, 2, 30.0, 0.0, 0.0, new),  # an unknown date is last, and no date to beat
+        (3, 1, 30.0, 0.0, 0.0, old), (3, 2, 30.0, 0.0, 0.0, datetime(1936, 1, 1)),  # days before 1970 are dates
+        (4, 1, 30.0, 0.0, 0.0, new), (4, None, 60.0, 0.0, 0.0, new), (5, 1, None, None, None, None), (5, 2, None, None, None, None),
+    ]
+    for name, own in (("a", rows), ("b", [(None, 1, None, 0.0, 0.0, new), *rows[:2]])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(own, columns).coalesce(1).write.parquet(f"{tmp_path}/{name}/rows")
+        next((tmp_path / name / "rows").glob("*.parquet")).rename(tmp_path / name / "lineitem.parquet")
+        for left in (tmp_path / name / "rows").iterdir():
+            left.unlink()
+        (tmp_path / name / "rows").rmdir()
+        same_rows(registry.queries()["survivorship_tiers"](spark, f"{tmp_path}/{name}"), oracle.oracle_sql()["survivorship_tiers"], f"{tmp_path}/{name}")
