@@ -498,3 +498,36 @@ def test_lm_sums_of_runs(kind, width):
     for most in (1000, 1 << 20):
         x = rng.integers(0, most + 1, 500).astype(np.int32)
         assert (lm_model._order(x, most) == np.argsort(x, kind="stable")).all()
+
+
+def test_lm_looks_no_further_below_a_leaf():
+    rng = np.random.default_rng(6)
+    v = random_vocabulary(rng)
+    looked = []
+
+    class Level(np.ndarray):
+        def take(self, *a, **k):
+            out = np.ndarray.take(self, *a, **k)
+            looked.append(out.size)
+            return np.asarray(out)
+
+    leaves = np.sort(v.leaf[rng.integers(0, len(v.leaf), 500)])
+    watched = lm_model.Vocabulary(v.inputs, v.leaf, v.part, v.path.view(Level), v.side, v.part_bias, v.node_bias)
+    w = lm_model.start_weights(v)
+    hidden = rng.standard_normal((500, lm_model.WIDTH)).astype(np.float32)
+    lm_model._output(w, watched, hidden, leaves, False)
+    # one look a leaf and one at each node: no leaf is looked for below its last node
+    assert sum(looked) <= len(leaves) + (v.path[:, leaves] >= 0).sum() < v.path[:, leaves].size
+    node, row, right, cuts = lm_model._below(v, leaves)
+    level, place = np.nonzero(v.path[:, leaves] >= 0)
+    assert (node == v.path[level, leaves[place]]).all() and (row == place).all() and (right == v.side[level, leaves[place]]).all()
+    assert cuts == np.searchsorted(level, np.arange(level[-1] + 2)).tolist()
+    for lowest in (lm_model._below(v, leaves[:0]), lm_model._below(lm_model.Vocabulary(v.inputs, v.leaf, v.part, v.path[:0], v.side[:0], v.part_bias, v.node_bias[:0]), leaves)):
+        assert [len(x) for x in lowest[:3]] == [0, 0, 0]
+
+
+def test_lm_cuts_only_numbers_that_are_too_large():
+    for x in (np.array([1.0, 70.0, np.inf]), np.array([1.0, 59.0]), np.array([np.nan, 70.0]), np.zeros(0)):
+        got = x.copy()
+        lm_model._at_most(got, 60)
+        assert np.array_equal(got, np.minimum(x, 60), equal_nan=True)
